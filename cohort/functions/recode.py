@@ -44,7 +44,7 @@ def _like_matches(text: str, pattern: str) -> bool:
     return re.fullmatch(regex, text, re.S) is not None
 
 
-def recode_like(c: ColumnOrName, rules: Sequence[tuple[str, str]]) -> Column:
+def recode_like(c: ColumnOrName, rules: Sequence[tuple[str, str]], case_insensitive: bool = False) -> Column:
     """Ordered LIKE patterns, first match wins.
 
     Running the rules as successive updates gives the same answer as long as no result matches a
@@ -57,7 +57,7 @@ def recode_like(c: ColumnOrName, rules: Sequence[tuple[str, str]]) -> Column:
                 raise ValueError(f"result {target!r} would be changed again by pattern {later!r}")
     chain = None
     for pattern, target in rules:
-        test = c.like(pattern)
+        test = c.ilike(pattern) if case_insensitive else c.like(pattern)
         chain = F.when(test, target) if chain is None else chain.when(test, target)
     return c if chain is None else chain.otherwise(c)
 

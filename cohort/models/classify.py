@@ -29,9 +29,10 @@ from ..functions.recode import as_column
 TREES = {"rforest", "rpart"}
 WEIGHT = "__weight"
 MAX_LEVELS = 1000
+ROWS_PER_TASK = 50_000  # fits make many small passes: fewer, fuller tasks than a shuffle leaves
 
 
-def _is_text(df: DataFrame, c: str) -> bool:
+def is_text(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType, T.DateType))
 
 
@@ -43,7 +44,7 @@ def compress(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features under private names, text as string and numbers as double."""
     return df.withColumns(
-        {f"__f{i}": F.col(c).cast("string" if _is_text(df, c) else "double") for i, c in enumerate(features)}
+        {f"__f{i}": F.col(c).cast("string" if is_text(df, c) else "double") for i, c in enumerate(features)}
     )
 
 
@@ -81,8 +82,8 @@ class Fitted:
             index = F.coalesce(*[F.when(a == best, float(k)) for k, a in enumerate(averages)])
         name = F.element_at(F.array(*[F.lit(v) for v in self.levels]), index.cast("int") + 1)
         present = F.lit(True)
-        for i, is_text in enumerate(self.text):
-            if not is_text:
+        for i, textual in enumerate(self.text):
+            if not textual:
                 present = present & F.col(f"__f{i}").isNotNull()
         return scored.withColumn(out, F.when(present, name)).select(*df.columns, out)
 
@@ -132,13 +133,14 @@ def fit(
     few categorical features: the fit then costs the same however many rows there are. ``weight``
     names a column that already holds such counts. (Nets take no weights; a forest on weighted rows
     is grown without row bagging.)
-    Parameters: ``ntree, mtry, depth`` (forest, tree), ``cost`` (svm), ``repeats, size, max_iter`` (nnet).
+    Parameters: ``ntree, mtry, depth`` (forest, tree), ``cost, tol, max_iter`` (svm),
+    ``repeats, size, max_iter`` (nnet).
     """
     features = list(features)
     rows = train.filter(F.col(label).isNotNull())
-    text = [_is_text(train, c) for c in features]
-    for c, is_text in zip(features, text):
-        if not is_text:
+    text = [is_text(train, c) for c in features]
+    for c, textual in zip(features, text):
+        if not textual:
             rows = rows.filter(F.col(c).isNotNull())
     counts = [F.col(weight).alias(WEIGHT)] if weight else []
     rows = rows.withColumn(label, F.col(label).cast("string")).select(label, *features, *counts)
@@ -147,10 +149,11 @@ def fit(
         rows = compress(rows, [label, *features])
     prepared = _prepared(rows, features).persist()
     try:
-        found = prepared.select(label).distinct().limit(MAX_LEVELS + 1).collect()
+        found = prepared.groupBy(label).count().limit(MAX_LEVELS + 1).collect()
         if len(found) > MAX_LEVELS:
             raise ValueError(f"{label} has more than {MAX_LEVELS} classes")
         levels = sorted(r[0] for r in found)
+        tasks = -(-sum(r["count"] for r in found) // ROWS_PER_TASK)
         if len(levels) < 2:
             return Fitted(name, features, levels, None, [], text)
         trees = name in TREES
@@ -158,7 +161,7 @@ def fit(
         codes = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(label)) - 1
         data = encoder.transform(prepared).withColumn("__y", codes.cast("double"))
         keep = ["__x", "__y"] + ([WEIGHT] if weighted else [])
-        data = data.select(*keep)
+        data = data.select(*keep).coalesce(max(1, tasks))
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__prediction"}
         scores = {"probabilityCol": "__probability", "rawPredictionCol": "__raw"}
         weights = {"weightCol": WEIGHT} if weighted else {}
@@ -174,7 +177,8 @@ def fit(
             mass = F.sum(WEIGHT) if weighted else F.count(F.lit(1))
             total = data.agg(mass).first()[0]
             reg = 1.0 / (params.get("cost", 1.0) * total)
-            makers = [LinearSVC(**common, **weights, rawPredictionCol="__raw", regParam=reg)]
+            search = {"maxIter": params.get("max_iter", 20), "tol": params.get("tol", 1e-3)}
+            makers = [LinearSVC(**common, **weights, **search, rawPredictionCol="__raw", regParam=reg)]
         elif name == "rpart":
             makers = [DecisionTreeClassifier(**common, **scores, **weights, seed=seed, maxDepth=params.get("depth", 5))]
         elif name == "rforest":

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.joins import exclude
 from ..operators.sample import bootstrap, fold_id, sample_exact, sample_stratified, split
-from .classify import WEIGHT, compress, fit
+from .classify import WEIGHT, compress, fit, is_text
 from .metrics import binary_metrics
 
 METRICS = ["accuracy", "ppv", "npv", "sensitivity", "specificity"]
@@ -27,6 +29,17 @@ def _scores(train, test, label, features, name, seed, positive, compressed, para
     return row.asDict()
 
 
+@contextmanager
+def _kept(*dfs: DataFrame):
+    """Hold DataFrames in memory and on disk for the length of a loop."""
+    held = [df.persist() for df in dfs]
+    try:
+        yield held
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def _in_parallel(tasks: list, run, parallelism: int) -> list:
     if parallelism <= 1:
         return [run(t) for t in tasks]
@@ -34,6 +47,13 @@ def _in_parallel(tasks: list, run, parallelism: int) -> list:
         return list(pool.map(run, tasks))
 
 
+def _counts_per_column(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """Counts per (column, value, label) of all columns in one pass, values as text."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
+    long = df.select(F.col(label).cast("string").alias("label"), F.inline(F.array(*pairs)))
+    return compress(long, ["column", "value", "label"])
+
+
 def screen_columns(
     train: DataFrame,
     test: DataFrame,
@@ -54,15 +74,17 @@ def screen_columns(
     params = params or {}
     share = train.agg(F.avg(F.when(F.col(label) == yes, 1.0).otherwise(0.0))).first()[0] or 0.0
     rows = []
-    for c in cols:
-        small_train = compress(train, [label, c]).persist()
-        small_test = compress(test, [label, c]).persist()
-        try:
+    with _kept(*[_counts_per_column(df, label, cols) for df in (train, test)]) as (counted_train, counted_test):
+        for c in cols:
+            kind = "string" if is_text(train, c) else train.schema[c].dataType
+            pick = [F.col("value").cast(kind).alias(c), F.col("label").alias(label), F.col(WEIGHT)]
+            small_train = counted_train.filter(F.col("column") == c).select(*pick)
+            small_test = counted_test.filter(F.col("column") == c).select(*pick)
             got = []
             for name in models:
                 extra = dict(params.get(name, {}))
                 if name == "nnet":
-                    fitted = fit(train.select(label, c), label, [c], name, seed, **extra)
+                    fitted = fit(train, label, [c], name, seed, **extra)
                 else:
                     fitted = fit(small_train, label, [c], name, seed, weight=WEIGHT, **extra)
                 scored = fitted.predict(small_test)
@@ -70,9 +92,6 @@ def screen_columns(
                 got.append((c, name, value))
             kept = any(v is not None and v >= share for _, _, v in got)
             rows += [(*g, share, kept) for g in got]
-        finally:
-            small_train.unpersist()
-            small_test.unpersist()
     return train.sparkSession.createDataFrame(
         rows, "column string, model string, accuracy double, prior double, kept boolean"
     )
@@ -95,8 +114,7 @@ def forward_select(
     again from the first. Only training rows are fitted.
     """
     wanted = [label, *start, *candidates]
-    train, test = train.select(*wanted).persist(), test.select(*wanted).persist()
-    try:
+    with _kept(train.select(*wanted), test.select(*wanted)) as (train, test):
         chosen, left, best, log = list(start), list(candidates), 0.0, []
         if chosen:
             best = _scores(train, test, label, chosen, name, seed, positive, True, params)["accuracy"] or 0.0
@@ -111,9 +129,6 @@ def forward_select(
                 i = 0
             else:
                 i += 1
-    finally:
-        train.unpersist()
-        test.unpersist()
     return train.sparkSession.createDataFrame(log, "step int, column string, accuracy double, kept boolean")
 
 
@@ -147,10 +162,9 @@ def tune(
     wanted = [label, *features]
     if cv is None:
         drawn = bootstrap(train, id_col, seed)
-        cv = train.join(drawn.select(id_col).distinct(), id_col, "left_anti")
+        cv = exclude(train, drawn, id_col)
         train = drawn
-    train, cv = train.select(*wanted).persist(), cv.select(*wanted).persist()
-    try:
+    with _kept(train.select(*wanted), cv.select(*wanted)) as (train, cv):
 
         def run(params: dict) -> dict:
             row = _scores(train, cv, label, features, name, seed, positive, False, params)
@@ -158,9 +172,6 @@ def tune(
             return {"model": name, "params": text, **row}
 
         rows = _in_parallel(_grid(grid), run, parallelism)
-    finally:
-        train.unpersist()
-        cv.unpersist()
     return _table(train.sparkSession, rows, "model string, params string")
 
 
@@ -177,16 +188,13 @@ def cross_validate(
     **params,
 ) -> DataFrame:
     """k-fold cross-validation: one row of metrics per fold."""
-    folded = fold_id(df, id_col, k, seed, out="__fold").select(label, *features, "__fold").persist()
-    try:
+    with _kept(fold_id(df, id_col, k, seed, out="__fold").select(label, *features, "__fold")) as (folded,):
 
         def run(i: int) -> dict:
             rest, held = folded.filter(F.col("__fold") != i), folded.filter(F.col("__fold") == i)
             return {"model": name, "fold": i, **_scores(rest, held, label, features, name, seed, positive, False, params)}
 
         rows = _in_parallel(list(range(k)), run, parallelism)
-    finally:
-        folded.unpersist()
     return _table(df.sparkSession, rows, "model string, fold int")
 
 
@@ -207,22 +215,17 @@ def run_grid(
     The test rows are drawn at random, or per stratum when ``strata`` is given.
     """
     models = models if isinstance(models, Mapping) else {m: {} for m in models}
-    wanted = df.select(id_col, label, *features)
     rows = []
-    for limit in limits:
-        for seed in seeds:
+    with _kept(df.select(id_col, label, *features)) as (wanted,):
+        for limit, seed in product(limits, seeds):
             part = wanted if limit == 1 else sample_exact(wanted, id_col, limit, seed)
             if strata:
                 test = sample_stratified(part, id_col, strata, test_size, f"{seed}t")
-                train = part.join(test.select(id_col), id_col, "left_anti")
+                train = exclude(part, test, id_col)
             else:
                 train, test = split(part, id_col, [round(1 - test_size, 9), test_size], f"{seed}t")
-            train, test = train.persist(), test.persist()
-            try:
+            with _kept(train, test) as (train, test):
                 for name, params in models.items():
                     got = _scores(train, test, label, features, name, seed, positive, False, dict(params))
                     rows.append({"share": float(limit), "seed": int(seed), "model": name, **got})
-            finally:
-                train.unpersist()
-                test.unpersist()
     return _table(df.sparkSession, rows, "share double, seed int, model string")
