@@ -3,6 +3,13 @@
 
 def all_queries():
     """All registered queries and their SQL counterparts."""
-    from . import catalog, model_queries, relation_queries, statistic_queries, value_queries  # noqa: F401
+    from . import (  # noqa: F401
+        catalog,
+        model_queries,
+        relation_queries,
+        statistic_queries,
+        value_queries,
+        wide_queries,
+    )
 
     return catalog.QUERIES, catalog.ORACLES

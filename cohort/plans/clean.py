@@ -1,8 +1,8 @@
 """From the wide table to the clean table: typed, filled, binned, scored and de-identified.
 
 The steps follow the data: rules that only look at one row are column expressions and fuse into one
-pass; a statistic or a model is a barrier. The row-wise part up to the first model is checkpointed
-once, so the five model fits do not redo the joins before it.
+pass; a statistic or a model is a barrier. The table is checkpointed twice, on entry and before the
+models, so the statistics do not redo the integration and the five fits do not redo the statistics.
 """
 
 from __future__ import annotations
@@ -305,7 +305,7 @@ def model_fills(df: DataFrame, height_model: str = "rforest", **height_params) -
 
 def clean_table(wide: DataFrame, salt: str = "", algo: str = "sha256", **height_params) -> DataFrame:
     """The 51-column table without subjects who died."""
-    rows = tests_and_delays(symptoms(treatment(measures(people(typed(wide))))))
+    rows = tests_and_delays(symptoms(treatment(measures(people(checkpoint(typed(wide)))))))
     filled = model_fills(checkpoint(rows), **height_params)
     hidden = op.deidentify(filled, ["GP", "Screener", "DiagnosedBy", "BaselineCHWID"], algo, salt)
     scaled = op.minmax(hidden, ["Weight", "ScreeningToBaselineWeightDifference"])
