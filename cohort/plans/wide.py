@@ -1,10 +1,13 @@
 """From the tables of two operational systems to one wide, typed row per subject.
 
 Each source is a mapping from table name to DataFrame. Stages are lazy; nothing is written between
-them. In every stage records are first made distinct and reduced per subject, both as aggregates
-that combine before the shuffle, and only then joined to the cohort, so a subject or a source with
-a large share of the records does not land in one task. All joins are on the subject key and share
-one partitioning, except the practitioner dimension, which comes last.
+them except the cohort, which several stages need. In every stage records are reduced per subject
+by aggregates that combine before the shuffle, and only then joined, so a subject or a source with a
+large share of the records does not land in one task. Records are made distinct only where copies
+would count. All joins are on the subject key and share one partitioning, except the practitioner
+dimension, which comes last.
+
+Stages take an optional ``cohort``; the wide table leaves it out, since its joins restrict already.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
 from .. import operators as op
+from ..sizing import checkpoint
 from ..sources import write_csv
 
 Source = Mapping[str, DataFrame]
@@ -115,14 +119,21 @@ def _layout(columns: list[str], **differing) -> dict:
     return {c: differing.get(c, c) for c in columns}
 
 
-def _both(first: DataFrame, second: DataFrame, columns: list[str], in_first=None, in_second=None) -> DataFrame:
-    """Distinct rows of a table kept by both sources, in the common layout."""
-    return op.union_distinct(
+def _both(
+    first: DataFrame, second: DataFrame, columns: list[str], in_first=None, in_second=None, distinct: bool = True
+) -> DataFrame:
+    """Rows of a table kept by both sources, in the common layout."""
+    union = op.union_distinct if distinct else op.append_rows
+    return union(
         op.align(first, _layout(columns, **(in_first or {}))),
         op.align(second, _layout(columns, **(in_second or {}))),
     )
 
 
+def _restricted(df: DataFrame, cohort: DataFrame | None, key: str = "PatientID") -> DataFrame:
+    return df if cohort is None else op.restrict_to(df, cohort, {key: "PatientID"})
+
+
 def practitioners(a: Source, b: Source) -> DataFrame:
     """Practitioner dimension, one row per name."""
     columns = ["GPName", "Qualification", "Speciality"]
@@ -170,13 +181,15 @@ def patients(a: Source, b: Source) -> DataFrame:
     )
 
 
-def screening(a: Source, b: Source, cohort: DataFrame, known_bad: list[Mapping] = ()) -> DataFrame:
+def screening(
+    a: Source, b: Source, cohort: DataFrame | None = None, known_bad: list[Mapping] = ()
+) -> DataFrame:
     """First encounter. ``known_bad`` lists records to delete, ``{"PatientID": ..., "EncounterID": ...}``."""
     union = _both(a["enc_suspect_id"], b["enc_suspect_id"], [*HEADER, "AGE", *SYMPTOMS])
     union = union.withColumn("COUGH_DURATION", fn.recode("COUGH_DURATION", COUGH_DURATIONS, case_insensitive=True))
     names = {"EncounterID": "EncounterID", "PID1": "PatientID", "PID2": "ScreenerID", "EnteredDate": "ScreeningDate"}
     out = op.project(union.withColumn("AGE", fn.lenient_int("AGE")), {**names, "AGE": "ScreeningAge", **SYMPTOMS})
-    return op.restrict_to(op.delete_keys(out, known_bad), cohort, "PatientID")
+    return _restricted(op.delete_keys(out, known_bad), cohort)
 
 
 def smears(a: Source, b: Source) -> DataFrame:
@@ -212,10 +225,12 @@ def gene_tests(a: Source, b: Source) -> DataFrame:
     return op.pick_one(kept, "PatientID", ["DateTested", "LaboratoryID"])
 
 
-def xrays(a: Source, b: Source, baseline: DataFrame) -> DataFrame:
+def xrays(a: Source, b: Source) -> DataFrame:
     """Readable X-ray taken before the baseline encounter, one per subject."""
     columns = ["PatientID", "XRayDate", "DateReported", "XRayResults", "Remarks"]
-    union = _both(a["xrayresults"], b["xrayresults"], columns, None, {"XRayResults": "XRayResult"})
+    renamed = {"XRayResults": "XRayResult"}
+    union = _both(a["xrayresults"], b["xrayresults"], columns, None, renamed, distinct=False)
+    baseline = _both(a["enc_baseline"], b["enc_baseline"], ["PID1", "EnteredDate"], distinct=False)
     union = op.drop_values(union.filter(F.col("XRayResults").isNotNull()), "XRayResults", INVALID_XRAYS)
     # Per subject the earliest X-ray is the one to pick, and if any lies before the reference it does.
     first = op.pick_one(union.filter(F.col("XRayDate").isNotNull()), "PatientID", ["XRayDate", "DateReported"])
@@ -227,8 +242,8 @@ def baseline_encounters(a: Source, b: Source) -> DataFrame:
     return _both(a["enc_baseline"], b["enc_baseline"], columns, {"STREPTOMYCIN": "STREPOMYCIN"})
 
 
-def baseline_results(a: Source, b: Source, cohort: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Smear, X-ray and gene test of every subject side by side."""
+def baseline_results(a: Source, b: Source) -> list[DataFrame]:
+    """Smear, X-ray and gene test, each one row per subject, to be set side by side."""
     smear = smears(a, b).select(
         "PatientID",
         F.col("DateSubmitted").alias("DateSputumSubmitted"),
@@ -236,7 +251,7 @@ def baseline_results(a: Source, b: Source, cohort: DataFrame, baseline: DataFram
         fn.day_gap("DateTested", "DateSubmitted").alias("SputumResultDelay"),
         "SmearResult",
     )
-    xray = xrays(a, b, baseline).select(
+    xray = xrays(a, b).select(
         "PatientID",
         "XRayDate",
         F.col("DateReported").alias("DateXRayReported"),
@@ -251,21 +266,21 @@ def baseline_results(a: Source, b: Source, cohort: DataFrame, baseline: DataFram
         "DrugResistance",
         F.col("Remarks").alias("GXRemarks"),
     )
-    return op.assemble(cohort.select("PatientID"), [smear, xray, gene], "PatientID")
+    return [smear, xray, gene]
 
 
-def diagnosis(a: Source, b: Source, cohort: DataFrame) -> DataFrame:
+def diagnosis(a: Source, b: Source, cohort: DataFrame | None = None) -> DataFrame:
     """Latest clinical diagnosis per subject."""
     notes = fn.joined_text("OTHER_DIAGNOSTIC_DETAIL", "NOTES")
     columns = [*DIAGNOSIS, "OTHER_DIAGNOSTIC_DETAIL", "NOTES"]
-    union = _both(a["enc_cdf"], b["enc_cdf"], columns).withColumn("DiagnosisNotes", notes)
+    union = _both(a["enc_cdf"], b["enc_cdf"], columns, distinct=False).withColumn("DiagnosisNotes", notes)
     renamed = op.project(union, {**DIAGNOSIS, "DiagnosisNotes": "DiagnosisNotes"})
     dated = renamed.filter(F.col("DiagnosisDate").isNotNull())
-    return op.restrict_to(op.latest(dated, "PatientID", "DiagnosisDate"), cohort, "PatientID")
+    return _restricted(op.latest(dated, "PatientID", "DiagnosisDate"), cohort)
 
 
-def baseline_treatment(baseline: DataFrame, cohort: DataFrame) -> DataFrame:
-    cleaned = baseline.select(
+def baseline_treatment(a: Source, b: Source, cohort: DataFrame | None = None) -> DataFrame:
+    cleaned = baseline_encounters(a, b).select(
         F.col("PID1").alias("PatientID"),
         F.col("PID2").alias("BaselineCHWID"),
         F.col("EnteredDate").alias("BaselineDate"),
@@ -276,7 +291,7 @@ def baseline_treatment(baseline: DataFrame, cohort: DataFrame) -> DataFrame:
         F.col("FDC_TABLETS").alias("FDCTablets"),
         F.col("STREPTOMYCIN").alias("Streptomycin"),
     )
-    return op.restrict_to(cleaned, cohort, "PatientID")
+    return _restricted(cleaned, cohort)
 
 
 def drug_history(a: Source, b: Source) -> DataFrame:
@@ -296,23 +311,23 @@ def drug_history(a: Source, b: Source) -> DataFrame:
     )
 
 
-def follow_ups(a: Source, b: Source, cohort: DataFrame) -> DataFrame:
+def follow_ups(a: Source, b: Source, cohort: DataFrame | None = None) -> DataFrame:
     columns = [*HEADER, "MONTH", "FDC_TABLETS", "STREPTOMYCIN", "REGIMEN", "WEIGHT", "TREATMENT_PHASE"]
     spelled = {"STREPTOMYCIN": "STREPOMYCIN"}
     first = {**spelled, "FDC_TABLETS": fn.first_present("FDC_TABLETS", "FDC_TABLET")}
     union = _both(a["enc_follow_up"], b["enc_follow_up"], columns, first, spelled)
-    return op.restrict_to(union, cohort, {"PID1": "PatientID"})
+    return _restricted(union, cohort, "PID1")
 
 
-def refusals(a: Source, b: Source, cohort: DataFrame) -> DataFrame:
+def refusals(a: Source, b: Source, cohort: DataFrame | None = None) -> DataFrame:
     """Last refusal encounter per subject."""
     union = _both(a["enc_refusal"], b["enc_refusal"], [*HEADER, "REASON", "WHAT_REFUSED"])
-    return op.restrict_to(op.latest(union, "PID1", "EncounterID", ties=True), cohort, {"PID1": "PatientID"})
+    return _restricted(op.latest(union, "PID1", "EncounterID", ties=True), cohort, "PID1")
 
 
-def treatment_outcome(a: Source, b: Source, cohort: DataFrame) -> DataFrame:
+def treatment_outcome(a: Source, b: Source, cohort: DataFrame | None = None) -> DataFrame:
     """How treatment ended: the latest end-of-follow-up encounter."""
-    union = _both(a["enc_end_fol"], b["enc_end_fol"], [*HEADER, "REASON", "OTHER_REASON"])
+    union = _both(a["enc_end_fol"], b["enc_end_fol"], [*HEADER, "REASON", "OTHER_REASON"], distinct=False)
     last = op.latest(union, "PID1", ["EnteredDate", "EncounterID"])
     reason = fn.recode("REASON", OUTCOMES, case_insensitive=True)
     out = last.select(
@@ -321,24 +336,23 @@ def treatment_outcome(a: Source, b: Source, cohort: DataFrame) -> DataFrame:
         fn.recode_like(reason, OUTCOME_PATTERNS, case_insensitive=True).alias("TreatmentOutcome"),
         F.col("OTHER_REASON").alias("TreatmentOutcomeDetails"),
     )
-    return op.restrict_to(out, cohort, "PatientID")
+    return _restricted(out, cohort)
 
 
 def wide_table(
     a: Source, b: Source, known_bad: list[Mapping] = (), salt: str = "", check: bool = False
 ) -> DataFrame:
     """The 84-column table; ``check`` raises where a stage repeats a subject."""
-    cohort = patients(a, b)
-    baseline = baseline_encounters(a, b)
+    cohort = checkpoint(patients(a, b))
     stages = [
-        screening(a, b, cohort, known_bad),
-        baseline_results(a, b, cohort, baseline),
-        diagnosis(a, b, cohort),
-        baseline_treatment(baseline, cohort),
-        treatment_outcome(a, b, cohort),
+        screening(a, b, known_bad=known_bad),
+        *baseline_results(a, b),
+        diagnosis(a, b),
+        baseline_treatment(a, b),
+        treatment_outcome(a, b),
     ]
     if check:
-        for stage in [cohort, *stages]:
+        for stage in [cohort, *[_restricted(s, cohort) for s in stages]]:
             op.assert_unique(stage, "PatientID")
     screened, *rest = stages
     joined = op.assemble(op.inner(cohort, screened.drop("EncounterID"), "PatientID"), rest, "PatientID")
