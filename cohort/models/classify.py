@@ -153,7 +153,8 @@ def fit(
         if len(found) > MAX_LEVELS:
             raise ValueError(f"{label} has more than {MAX_LEVELS} classes")
         levels = sorted(r[0] for r in found)
-        tasks = -(-sum(r["count"] for r in found) // ROWS_PER_TASK)
+        total = sum(r["count"] for r in found)
+        tasks = -(-total // ROWS_PER_TASK)
         if len(levels) < 2:
             return Fitted(name, features, levels, None, [], text)
         trees = name in TREES
@@ -166,8 +167,14 @@ def fit(
         scores = {"probabilityCol": "__probability", "rawPredictionCol": "__raw"}
         weights = {"weightCol": WEIGHT} if weighted else {}
         if trees:
-            widest = max(_category_sizes(encoder), default=0)
-            common["maxBins"] = max(32, widest + 2)
+            levels_wide = max(_category_sizes(encoder), default=0) + 1
+            common["maxBins"] = max(32, levels_wide)
+            # Trees want at least as many rows as levels: split rows into shares of their weight.
+            shares = -(-levels_wide // total)
+            if shares > 1:
+                share = (F.col(WEIGHT) if weighted else F.lit(1.0)) / shares
+                data = data.withColumn(WEIGHT, share).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(shares))))
+                weights = {"weightCol": WEIGHT}
         if name == "glm":
             family = "binomial" if len(levels) == 2 else "multinomial"
             makers = [LogisticRegression(**common, **scores, **weights, family=family)]
@@ -175,8 +182,7 @@ def fit(
             if len(levels) != 2:
                 raise ValueError("svm separates two classes")
             mass = F.sum(WEIGHT) if weighted else F.count(F.lit(1))
-            total = data.agg(mass).first()[0]
-            reg = 1.0 / (params.get("cost", 1.0) * total)
+            reg = 1.0 / (params.get("cost", 1.0) * data.agg(mass).first()[0])
             search = {"maxIter": params.get("max_iter", 20), "tol": params.get("tol", 1e-3)}
             makers = [LinearSVC(**common, **weights, **search, rawPredictionCol="__raw", regParam=reg)]
         elif name == "rpart":
@@ -192,7 +198,7 @@ def fit(
                     numTrees=params.get("ntree", 100),
                     featureSubsetStrategy=str(mtry),
                     maxDepth=params.get("depth", 10),
-                    bootstrap=not weighted,
+                    bootstrap=not weights,
                 )
             ]
         elif name == "nnet":
