@@ -99,16 +99,23 @@ def profile(df: DataFrame, dictionary: DataFrame | None = None, exact_distinct:
     Columns: ``column, missing_ratio, n_distinct, min, max`` and, with a dictionary
     ``(attribute, measurement)``, ``declared`` (null when the column is not described).
     """
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     aggs = []
     for c in df.columns:
         aggs += [
             F.avg(F.col(c).isNull().cast("int")).alias(f"miss_{c}"),
-            distinct(F.col(c)).alias(f"dist_{c}"),
             F.min(c).cast("string").alias(f"min_{c}"),
             F.max(c).cast("string").alias(f"max_{c}"),
         ]
-    values = {c: [F.col(f"{p}_{c}") for p in ("miss", "dist", "min", "max")] for c in df.columns}
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(c).alias(f"dist_{c}"))
+
+    def n_distinct(c: str) -> Column:
+        """Exact counts read one column each; together they would multiply every row by the columns."""
+        return df.select(c).distinct().agg(F.count(c)).scalar() if exact_distinct else F.col(f"dist_{c}")
+
+    values = {
+        c: [F.col(f"miss_{c}"), n_distinct(c), F.col(f"min_{c}"), F.col(f"max_{c}")] for c in df.columns
+    }
     report = _one_row_to_many(df.agg(*aggs), ["missing_ratio", "n_distinct", "min", "max"], values)
     if dictionary is None:
         return report

@@ -39,12 +39,22 @@ class _Bracket:
 
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     """One round for all brackets: propose tighter ends, count, keep them if they hold the rank."""
+    # Brackets over the same stretch share one sketch.
+    shared: dict[tuple, list[int]] = {}
+    for i, b in enumerate(brackets):
+        shared.setdefault((b.col, b.low, b.high), []).append(i)
     asks = []
-    for b in brackets:
-        at = (b.rank - b.below + 0.5) / b.inside
-        probs = [max(0.0, at - _MARGIN), min(1.0, at + _MARGIN)]
-        asks.append(F.percentile_approx(F.when(b.test(), F.col(b.col)), probs, _ACCURACY))
-    proposals = [tuple(p) for p in df.agg(*asks).first()]
+    for members in shared.values():
+        probs = []
+        for i in members:
+            at = (brackets[i].rank - brackets[i].below + 0.5) / brackets[i].inside
+            probs += [max(0.0, at - _MARGIN), min(1.0, at + _MARGIN)]
+        first = brackets[members[0]]
+        asks.append(F.percentile_approx(F.when(first.test(), F.col(first.col)), probs, _ACCURACY))
+    proposals: list = [None] * len(brackets)
+    for members, found in zip(shared.values(), df.agg(*asks).first()):
+        for place, i in enumerate(members):
+            proposals[i] = tuple(found[2 * place : 2 * place + 2])
     # Halves of the value range, for the case that the sketch does not help.
     middles = [b.low + (b.high - b.low) / 2 for b in brackets]
     counts = []

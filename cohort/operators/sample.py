@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sizing import small_or_plain
+from .shape import append_rows
 
 _DIGITS = 3
 _FETCH = 5_000
+RANK_ROWS = 200_000
 
 
 def order_hash(id_col: str | Column, seed) -> Column:
@@ -101,37 +104,51 @@ def split(df: DataFrame, id_col: str, fractions: Sequence, seed) -> list[DataFra
     return [labelled.filter(F.col("__part") == n).drop("__part") for n in names]
 
 
-def sample_stratified(df: DataFrame, id_col: str, strata: Sequence[str], fraction, seed, digits: int = _DIGITS) -> DataFrame:
+def sample_stratified(
+    df: DataFrame, id_col: str, strata: Sequence[str], fraction, seed, rank_rows: int = RANK_ROWS, digits: int = _DIGITS
+) -> DataFrame:
     """Exactly ``floor(n * fraction)`` rows of every stratum; no strata is a simple sample.
 
-    Per stratum, digest prefixes are counted and the prefix where the sample ends is looked up;
-    only rows in that one prefix (1/4096 of the stratum, however large) are ranked.
+    Strata of up to ``rank_rows`` rows are ranked as they are. Of a larger one, digest prefixes are
+    counted and the prefix where its sample ends is looked up; only the rows of that one prefix
+    (1/4096 of the stratum) are ranked, all others are taken or left by comparison.
     """
     if not strata:
         return sample_exact(df, id_col, fraction, seed)
-    names = [f"__s{i}" for i in range(len(strata))]
-    keyed = df.withColumns(
-        {
-            **{s: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for s, c in zip(names, strata)},
-            "__h": order_hash(id_col, seed),
-        }
-    ).withColumn("__p", F.substring("__h", 1, digits))
     share = Fraction(str(fraction))
-    counted = keyed.groupBy(*names, "__p").agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*names)
-    upto = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.floor(F.sum("__n").over(whole) * F.lit(share.numerator) / F.lit(share.denominator))
-    ends = (
-        counted.select(*names, "__p", "__n", F.sum("__n").over(upto).alias("__upto"), size.alias("__size"))
-        .filter((F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
-        .select(*names, F.col("__p").alias("__end"), (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left"))
-    )
-    joined = keyed.join(small_or_plain(ends), on=names, how="inner")
+
+    def wanted(rows: Column) -> Column:
+        return F.floor(rows * F.lit(share.numerator) / F.lit(share.denominator))
+
+    # Null is a stratum of its own; the digest decides the order.
+    names = [f"__s{i}" for i in range(len(strata))]
+    texts = {s: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for s, c in zip(names, strata)}
+    keyed = df.withColumns({**texts, "__h": order_hash(id_col, seed)})
+    by_stratum = Window.partitionBy(*names)
+
+    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__size"))
+    large = small_or_plain(sizes.filter(F.col("__size") > rank_rows))
+    any_large = not large.isEmpty()
+    small_rows = keyed.join(large, on=names, how="left_anti") if any_large else keyed
+    rank = F.row_number().over(by_stratum.orderBy("__h"))
+    size = F.count(F.lit(1)).over(by_stratum)
+    sampled = small_rows.withColumns({"__r": rank, "__size": size}).filter(F.col("__r") <= wanted(F.col("__size")))
+    sampled = sampled.select(*df.columns)
+    if not any_large:
+        return sampled
+
+    prefix = F.substring("__h", 1, digits)
+    counted = keyed.join(large, on=names, how="inner").groupBy(*names, "__size", prefix.alias("__p"))
+    counted = counted.agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(by_stratum.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    under = F.col("__upto") - F.col("__n")
+    quota = wanted(F.col("__size"))
+    ends = counted.withColumn("__upto", upto).filter((under < quota) & (quota <= F.col("__upto")))
+    ends = ends.select(*names, F.col("__p").alias("__end"), (quota - under).alias("__left"))
+    joined = keyed.withColumn("__p", prefix).join(small_or_plain(ends), on=names, how="inner")
     inside = joined.filter(F.col("__p") < F.col("__end")).select(*df.columns)
-    edge = joined.filter(F.col("__p") == F.col("__end"))
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy("__h"))
-    edge = edge.withColumn("__r", rank).filter(F.col("__r") <= F.col("__left")).select(*df.columns)
-    return inside.unionByName(edge)
+    edge = joined.filter(F.col("__p") == F.col("__end")).withColumn("__r", rank)
+    return append_rows(sampled, inside, edge.filter(F.col("__r") <= F.col("__left")).select(*df.columns))
 
 
 def _uniform(id_col: str, seed) -> Column:
@@ -141,8 +158,6 @@ def _uniform(id_col: str, seed) -> Column:
 
 def poisson_steps(limit: int = 12) -> list[float]:
     """Cumulative probabilities of a Poisson(1) count: P(X <= 0), P(X <= 1), ..."""
-    from math import exp, factorial
-
     out, total = [], 0.0
     for k in range(limit):
         total += exp(-1) / factorial(k)

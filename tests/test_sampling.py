@@ -37,8 +37,11 @@ def test_decimal_fractions_do_not_drift():
 
 
 @pytest.mark.parametrize("strata", [["g"], ["g", "h"], []])
-def test_stratified_counts(people, strata):
-    got = op.sample_stratified(people, "id", strata, 0.3, 7)
+@pytest.mark.parametrize("rank_rows", [0, 270, 10_000])
+def test_stratified_counts(people, strata, rank_rows):
+    """All strata large, some large, none large: the same rows."""
+    got = op.sample_stratified(people, "id", strata, 0.3, 7, rank_rows=rank_rows)
+    assert bag(got) == bag(op.sample_stratified(people, "id", strata, 0.3, 7))
     if not strata:
         assert got.count() == 300
         return
@@ -49,9 +52,9 @@ def test_stratified_counts(people, strata):
 
 
 def test_stratified_without_broadcast(people, monkeypatch):
-    want = bag(op.sample_stratified(people, "id", ["g"], 0.3, 7))
+    want = bag(op.sample_stratified(people, "id", ["g"], 0.3, 7, rank_rows=0))
     monkeypatch.setattr("cohort.operators.sample.small_or_plain", lambda d: d)
-    assert bag(op.sample_stratified(people, "id", ["g"], 0.3, 7)) == want
+    assert bag(op.sample_stratified(people, "id", ["g"], 0.3, 7, rank_rows=0)) == want
 
 
 def test_splits_are_disjoint_and_complete(people):
