@@ -132,5 +132,5 @@ def cross_validate(t: Tables) -> DataFrame:
 
 @query("run_grid")
 def run_grid(t: Tables) -> DataFrame:
-    models = {"svm": {}, "rforest": {"ntree": 5, "depth": 4}}
+    models = {"glm": {}, "rforest": {"ntree": 5, "depth": 4}}
     return ml.run_grid(_outcome(t), "id", "outcome", FEATURES, [0.2, 1.0], [10, 300], models, strata=["outcome"])
