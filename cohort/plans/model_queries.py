@@ -104,7 +104,8 @@ def model_fill_bad(t: Tables) -> DataFrame:
 @query("screen_columns")
 def screen_columns(t: Tables) -> DataFrame:
     train, test = op.split(_outcome(t), "id", [0.8, 0.2], seed=10)
-    return ml.screen_columns(train, test, "outcome", ["l_returnflag", "size_group", "p_type"], params={"rforest": {"ntree": 5}})
+    params = {"rforest": {"ntree": 5}, "svm": {"max_iter": 5}}
+    return ml.screen_columns(train, test, "outcome", ["l_returnflag", "size_group", "p_type"], params=params)
 
 
 @query("forward_select")
