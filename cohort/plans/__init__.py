@@ -7,6 +7,7 @@ def all_queries():
         catalog,
         model_queries,
         relation_queries,
+        saturated_queries,
         statistic_queries,
         value_queries,
         wide_queries,

@@ -12,7 +12,7 @@ from .catalog import Tables, holed, query
 FEATURES = ["l_returnflag", "size_group", "discount", "p_type"]
 
 
-def _outcome(t: Tables) -> DataFrame:
+def outcome_rows(t: Tables) -> DataFrame:
     """A binary outcome per line: late against early lines, with text and numeric features."""
     lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_returnflag").alias("l_returnflag"),
@@ -33,7 +33,7 @@ def _outcome(t: Tables) -> DataFrame:
 
 
 def _scored(t: Tables, name: str, **params) -> DataFrame:
-    train, test = op.split(_outcome(t), "id", [0.8, 0.2], seed=300)
+    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=300)
     fitted = ml.fit(train, "outcome", FEATURES, name, seed=300, **params)
     return ml.binary_metrics(fitted.predict(test), "predicted", "outcome")
 
@@ -65,14 +65,14 @@ def tree(t: Tables) -> DataFrame:
 
 @query("analyze")
 def analyze(t: Tables) -> DataFrame:
-    train, test = op.split(_outcome(t), "id", [0.8, 0.2], seed=300)
+    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=300)
     accuracy = ml.analyze(train, test, "outcome", FEATURES, "glm")
     return t.spark.createDataFrame([("glm", accuracy)], "model string, accuracy double")
 
 
 @query("importance")
 def importance(t: Tables) -> DataFrame:
-    fitted = ml.fit(_outcome(t), "outcome", FEATURES, "rforest", ntree=10, depth=5)
+    fitted = ml.fit(outcome_rows(t), "outcome", FEATURES, "rforest", ntree=10, depth=5)
     return t.spark.createDataFrame(ml.importance(fitted), "feature string, importance double")
 
 
@@ -84,7 +84,7 @@ def kmeans_bins(t: Tables) -> DataFrame:
 
 @query("model_fill_tree")
 def model_fill_tree(t: Tables) -> DataFrame:
-    rows = _outcome(t).withColumn("outcome", F.when(F.xxhash64("id") % 7 != 0, F.col("outcome")))
+    rows = outcome_rows(t).withColumn("outcome", F.when(F.xxhash64("id") % 7 != 0, F.col("outcome")))
     return ml.fill_by_model(rows, "outcome", ["l_returnflag", "size_group", "p_type"], "rpart")
 
 
@@ -103,35 +103,35 @@ def model_fill_bad(t: Tables) -> DataFrame:
 
 @query("screen_columns")
 def screen_columns(t: Tables) -> DataFrame:
-    train, test = op.split(_outcome(t), "id", [0.8, 0.2], seed=10)
+    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
     params = {"rforest": {"ntree": 5}, "svm": {"max_iter": 5}}
     return ml.screen_columns(train, test, "outcome", ["l_returnflag", "size_group", "p_type"], params=params)
 
 
 @query("forward_select")
 def forward_select(t: Tables) -> DataFrame:
-    train, test = op.split(_outcome(t), "id", [0.8, 0.2], seed=10)
+    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
     return ml.forward_select(train, test, "outcome", ["l_returnflag"], ["p_type", "size_group"], name="glm")
 
 
 @query("tune_grid")
 def tune_grid(t: Tables) -> DataFrame:
-    train, cv, _ = op.split(_outcome(t), "id", [0.6, 0.2, 0.2], seed=10)
+    train, cv, _ = op.split(outcome_rows(t), "id", [0.6, 0.2, 0.2], seed=10)
     return ml.tune(train, "outcome", FEATURES, "rforest", {"mtry": [1, 3], "ntree": [5]}, cv=cv)
 
 
 @query("tune_bootstrap")
 def tune_bootstrap(t: Tables) -> DataFrame:
-    train, _ = op.split(_outcome(t), "id", [0.8, 0.2], seed=10)
+    train, _ = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
     return ml.tune(train, "outcome", FEATURES, "svm", {"cost": [0.5, 1.072]}, id_col="id")
 
 
 @query("cross_validate")
 def cross_validate(t: Tables) -> DataFrame:
-    return ml.cross_validate(_outcome(t), "id", "outcome", FEATURES, "rpart", k=5)
+    return ml.cross_validate(outcome_rows(t), "id", "outcome", FEATURES, "rpart", k=5)
 
 
 @query("run_grid")
 def run_grid(t: Tables) -> DataFrame:
     models = {"glm": {}, "rforest": {"ntree": 5, "depth": 4}}
-    return ml.run_grid(_outcome(t), "id", "outcome", FEATURES, [0.2, 1.0], [10, 300], models, strata=["outcome"])
+    return ml.run_grid(outcome_rows(t), "id", "outcome", FEATURES, [0.2, 1.0], [10, 300], models, strata=["outcome"])
