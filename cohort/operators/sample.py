@@ -57,8 +57,13 @@ def _cuts(df: DataFrame, id_col: str, seed, sizes, fetch: int = _FETCH) -> tuple
             prefix = p
             if n <= fetch or len(prefix) >= 32:
                 break
-        near = sorted(r[0] for r in hashed.filter(F.col("h").startswith(prefix)).collect())
-        cuts.append(near[left - 1])
+        # Few digests, or one repeated digest if ids are not unique after all.
+        near = hashed.filter(F.col("h").startswith(prefix)).groupBy("h").count().collect()
+        for cut, n in sorted(tuple(r) for r in near):
+            if left <= n:
+                break
+            left -= n
+        cuts.append(cut)
     return total, cuts
 
 

@@ -295,10 +295,11 @@ def model_fills(df: DataFrame, height_model: str = "rforest", **height_params) -
     base = ["BaselineRegimen", "AgeGroup", "BaselinePatientCategory", "BaselinePatientType", "BaselineWeightGroup"]
     df = ml.fill_by_model(df, "BaselineDoseCombination", base)
     df = ml.fill_by_model(df, "BaselineStreptomycin", ["BaselineDoseCombination", *base])
+    # Whole kilograms up to the plausible limit are the classes, so their number is bounded.
     change = "ScreeningToBaselineWeightDifference"
-    body = ["AgeGroup", "Gender", "HeightGroup", "WeightGroup"]
-    df = ml.fill_by_model(df, change, body, bad=F.col(change) > MAX_WEIGHT_CHANGE)
-    df = df.withColumn(change, F.bround(change, 0))
+    plausible = fn.null_if(change, F.col(change) > MAX_WEIGHT_CHANGE)
+    df = df.withColumn(change, F.bround(plausible, 0))
+    df = ml.fill_by_model(df, change, ["AgeGroup", "Gender", "HeightGroup", "WeightGroup"])
     care = ["BaselineDoseCombination", "BaselineRegimen", "BaselinePatientCategory", "SmearResult", "XRayResults"]
     return ml.fill_by_model(df, "DiseaseSite", care)
 
@@ -309,5 +310,6 @@ def clean_table(wide: DataFrame, salt: str = "", algo: str = "sha256", **height_
     filled = model_fills(checkpoint(rows), **height_params)
     hidden = op.deidentify(filled, ["GP", "Screener", "DiagnosedBy", "BaselineCHWID"], algo, salt)
     scaled = op.minmax(hidden, ["Weight", "ScreeningToBaselineWeightDifference"])
-    years = scaled.withColumns({c: F.col(c).cast("int").cast("string") for c in ("ScreeningYear", "RegistrationYear")})
+    year = F.col("ScreeningYear").cast("int").cast("string")
+    years = scaled.withColumns({"ScreeningYear": year, "RegistrationYear": F.col("RegistrationYear").cast("int")})
     return years.filter(F.col("TreatmentOutcome") != "DIED").select(*CLEAN_COLUMNS)

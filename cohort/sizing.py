@@ -29,10 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if named is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohort-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohort-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 

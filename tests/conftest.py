@@ -10,7 +10,7 @@ from compare import database, local_session  # noqa: E402
 
 # Column expressions at module level need a session.
 SESSION = local_session("4")
-SESSION.conf.set("spark.sql.shuffle.partitions", "4")
+SESSION.conf.set("spark.sql.shuffle.partitions", "3")
 
 
 @pytest.fixture(scope="session")

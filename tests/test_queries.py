@@ -6,7 +6,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from compare import differences
 
 SMALL = "/root/testdata/sf0.001"
-SLOW = {"run_grid", "screen_columns", "tune_bootstrap", "cross_validate"}
+# Covered by tests/test_models.py and by their counterparts on one feature.
+SLOW = {"run_grid", "screen_columns", "tune_bootstrap", "cross_validate", "forward_select", "analyze"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
