@@ -10,6 +10,8 @@ from cohort import functions as fn
 from cohort import operators as op
 from cohort import sources as src
 from cohort.plans import clean, wide
+from cohort.plans.catalog import Tables
+from cohort.plans.source_tables import two_sources
 
 HEAD = "EncounterID int, PID1 string, PID2 string, DateEncounterStart date, DateEncounterEnd date, EnteredDate date, ENTERED_DATE string"
 
@@ -186,3 +188,15 @@ def test_dictionary_stage_metrics_and_encoding(frame, spark, tmp_path):
     src.append_metrics(df, str(tmp_path / "log"))
     src.append_metrics(df, str(tmp_path / "log"), stamp=False)
     assert spark.read.parquet(str(tmp_path / "log")).filter("logged_at is null").count() == 3
+
+
+def test_cleaning_the_exported_csv_equals_cleaning_the_typed_table(spark, tmp_path):
+    """The whole way: two sources, wide table, CSV of text, clean table."""
+    typed = wide.wide_table(*two_sources(Tables(spark, "/root/testdata/sf0.001")), check=True)
+    wide.export_wide(typed, str(tmp_path / "wide"))
+    text = src.read_csv(spark, str(tmp_path / "wide"), ", ".join(f"{c} string" for c in wide.WIDE_COLUMNS))
+    a, b = (clean.clean_table(df, ntree=3).drop("PatientID") for df in (text, typed))
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    complete = set(clean.CLEAN_COLUMNS) - {"Gender", "AgeGroup", "Weight", "ScreeningYear", "PatientID"}
+    gaps = {r["column"] for r in op.missing_ratio(a).filter("missing_ratio > 0").collect()}
+    assert not gaps & complete
