@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import sharding
+from cohort.llm import html, sharding, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,8 +18,48 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, folder))
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL against the stated rules."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
+    "op9_url_filter": op9_url_filter,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_url_filter": """
+        WITH split AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^[^/?#]*'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM split
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN host LIKE 'ads.%' OR host LIKE '%.ads.%' OR host LIKE 'adserver.%' OR host LIKE 'tracker.%'
+              OR path LIKE '/login%' OR path LIKE '/cgi-bin/%' OR path LIKE '%/wp-admin/%' THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
