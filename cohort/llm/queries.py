@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import html, sharding, urlfilter
+from cohort.llm import html, packing, sharding, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_documents(spark, folder))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shards 0 to 39 by the bounded ring."""
     return sharding.shard_documents(_documents(spark, folder))
@@ -31,6 +36,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op6_sharding": op6_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
