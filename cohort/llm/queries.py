@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import html, packing, sharding, urlfilter
+from cohort.llm import html, neardup, packing, sharding, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return neardup.near_duplicates(_documents(spark, folder))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shards 0 to 39 by the bounded ring."""
     return sharding.shard_documents(_documents(spark, folder))
@@ -37,6 +42,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_minhash": op4_minhash,
     "op6_sharding": op6_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
