@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import html, neardup, packing, sharding, urlfilter
+from cohort.llm import decontaminate, html, neardup, packing, sharding, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds, whole, edited or paraphrased."""
+    return decontaminate.matches(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shards 0 to 39 by the bounded ring."""
     return sharding.shard_documents(_documents(spark, folder))
@@ -43,6 +48,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_minhash": op4_minhash,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
