@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, html, neardup, packing, sharding, urlfilter
+from cohort.llm import decontaminate, html, neardup, packing, pii, sharding, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, folder))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of all documents."""
+    return pii.find(_documents(spark, folder))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's URL against the stated rules."""
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
 }
