@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -15,68 +18,113 @@ from cohort.sizing import checkpoint
 CAPACITY = 2048
 #: Rows that one task numbers at most, about.
 PER_PART = 20_000
+#: Text that is tokenised at once.
+BLOCK_BYTES = 3_000_000
+
+#: Characters whose lower case depends on others, and marks that join the character before them.
+CONTEXTUAL = r"[\x{0130}\x{03a3}\x{0300}-\x{036f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}]|<\|"
 
 
 class WordIds:
     """Token ids of texts by way of their blank-separated words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its
-    words in turn. Words are kept once they are known, up to ``limit`` words; then all are dropped.
+    words in turn; and it splits letters from points and commas, so those at the end of a word are looked up
+    apart. Words are kept once they are known, up to ``limit`` words; then all are dropped.
     """
 
-    SEPARATOR = "|"
+    MARK = "|"
 
-    def __init__(self, path: str | None, limit: int = 600_000) -> None:
+    def __init__(self, path: str | None, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        (self.mark,) = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        (self.mark,) = self._ids(self.MARK)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        odd = [w for w in words if self.SEPARATOR in w]
-        plain = [w for w in words if self.SEPARATOR not in w] if odd else words
-        found = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in odd}
+        self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.ends = {e: ids[0] for e in (".", ",") if len(ids := self._ids(e)) == 1}
+        self._learn([""])
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Add new words: those without the mark are encoded together, a thousand at a time, with marks between."""
+        plain = [w for w in words if self.MARK not in w]
+        odd = [w for w in words if self.MARK in w]
+        pools, begins, lengths, base = [self.pool], [self.begin], [self.length], len(self.pool)
         blocks = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        texts = [f" {self.SEPARATOR} ".join(b) for b in blocks]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        order = []
+        for block in blocks:
+            text = f" {self.MARK} ".join(block)
+            (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            parts[1:] = [p[1:] for p in parts[1:]]
-            if len(parts) != len(block):
-                parts = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in block]
-            found.update(zip(block, parts))
-        return [found[w] for w in words]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+            at = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(at) != len(block):  # a special token's text, or another sign that becomes the mark
+                odd += block
+                continue
+            start = np.append(0, at[:-1] + 1)
+            pools.append(ids)
+            begins.append(base + start)
+            lengths.append(at - start)
+            base += len(ids)
+            order += block
+        for word in odd:
+            ids = np.array(self._ids(word), np.uint32)
+            pools.append(ids)
+            begins.append(np.array([base]))
+            lengths.append(np.array([len(ids)]))
+            base += len(ids)
+        first = len(self.begin)
+        self.pool, self.begin, self.length = np.concatenate(pools), np.concatenate(begins), np.concatenate(lengths)
+        self.known.update(zip(order + odd, range(first, first + len(order) + len(odd))))
+
+    def _learn_all(self, words: list[str]) -> None:
+        stems = [w[:-1] if w[-1] in self.ends and w[-2:-1].isalpha() and w[-2] != "\u0130" else w for w in words]
+        missing = list({s for s in stems if s not in self.known})
+        if missing:
+            self._learn(missing)
+        both = [(w, s) for w, s in zip(words, stems) if w is not s]
+        if both:  # the stem's ids and the one of the sign after it
+            at = np.array([self.known[s] for _, s in both])
+            begin, size = self.begin[at], self.length[at] + 1
+            stop = np.cumsum(size)
+            ids = self.pool[np.minimum(np.arange(stop[-1]) + np.repeat(begin - (stop - size), size), len(self.pool) - 1)]
+            ids[stop - 1] = [self.ends[w[-1]] for w, _ in both]
+            first = len(self.begin)
+            self.begin = np.append(self.begin, len(self.pool) + stop - size)
+            self.length = np.append(self.length, size)
+            self.pool = np.append(self.pool, ids)
+            self.known.update((w, first + i) for i, (w, _) in enumerate(both))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self._clear()
-        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
+        # lower case first means fewer words; it is the tokenizer's own, but for signs that look to their neighbours
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lowered = pc.if_else(pc.match_substring_regex(texts, CONTEXTUAL), texts, pc.utf8_lower(texts))
+        split = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        unique = words.dictionary.to_pylist()
+        new = [w for w in unique if w not in self.known]
         if new:
-            ids = self._encode(new)
-            size = np.array([len(x) for x in ids], np.int64)
-            self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
-            self.length = np.append(self.length, size)
-            self.pool = np.concatenate([self.pool, *ids])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        known, out = self.known, []
-        for ws in words:
-            at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.pool[np.arange(total) + np.repeat(self.begin[at] - (ends - n), n)])
-        return out
+            self._learn_all(new)
+        entry = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        at = entry[words.indices.to_numpy()]
+        n = self.length[at]
+        ends = np.cumsum(n)
+        ids = self.pool[np.arange(int(n.sum())) + np.repeat(self.begin[at] - (ends - n), n)]
+        # where each text's last word ends
+        cuts = np.append(0, ends)[(split.offsets.to_numpy() - split.offsets[0].as_py())[1:-1]]
+        return np.split(ids, cuts)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -86,24 +134,28 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     few megabytes at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            group = (np.cumsum([len(t) for t in texts]) // 2_000_000) if texts else []
-            for g in dict.fromkeys(group):
-                inside = np.flatnonzero(group == g)
-                rows = []
-                for i, ids in zip(inside, encode([texts[i] for i in inside])):
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(size) // BLOCK_BYTES
+            begins = np.flatnonzero(np.diff(group, prepend=-1))
+            for a, b in zip(begins, np.append(begins[1:], len(group))):
+                part, rows = batch.slice(a, b - a), []
+                for i, ids in enumerate(encode(part.column("text"))):
                     ids = np.append(ids, 0).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        rows.append((i, piece, start, len(part), zlib.crc32(part.tobytes())))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.assign(doc_id=batch["doc_id"].to_numpy()[out["doc_id"]])
+                        some = ids[start : start + capacity]
+                        rows.append((i, piece, start, len(some), zlib.crc32(some.tobytes())))
+                at, *rest = zip(*rows)
+                columns = [pa.array(x, k) for x, k in zip(rest, kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), *columns], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
