@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, html, neardup, packing, pii, sharding, urlfilter
+from cohort.llm import decontaminate, html, neardup, packing, pii, sharding, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, folder))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, by a network fitted on rows outside the held-out fifth."""
+    docs = _documents(spark, folder)
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.score(docs, model)
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of all documents."""
     return pii.find(_documents(spark, folder))
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
