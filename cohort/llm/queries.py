@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, html, neardup, packing, pii, sharding, toxicity, urlfilter
+from cohort.llm import decontaminate, html, language, neardup, packing, pii, sharding, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents, learned from those that aren't held out."""
+    return language.identify(_documents(spark, folder)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(_documents(spark, folder))
@@ -59,6 +64,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
