@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, html, language, neardup, packing, pii, sharding, toxicity, urlfilter
+from cohort.llm import decontaminate, html, language, neardup, packing, pii, sharding, spotsigs, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """SpotSigs fingerprints of all documents and of their edited texts."""
+    return spotsigs.edited_fingerprints(_documents(spark, folder))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(_documents(spark, folder))
@@ -63,6 +68,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,
