@@ -14,8 +14,8 @@ from cohort.llm.textops import U64, mix, shingle_set
 from cohort.sizing import checkpoint
 
 BANDS, ROWS = 32, 4
-#: Members of a bucket that are centres of a star before the rest is compared in blocks.
-CENTRES = 8
+#: Further members of a bucket that become centres of a star before the rest is compared in blocks.
+ROUNDS = 3
 BLOCK = 128
 
 
@@ -162,8 +162,8 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     """Links between classes (rep, bands) whose sets are similar enough, as few as keep their components.
 
     Each bucket is first a star around its smallest member: as many candidates as members. Where the confirmed
-    links leave a bucket in several components, up to ``CENTRES`` further members outside the main component
-    become centres. What buckets with more members still leave open is compared in blocks.
+    links leave a bucket in several components, a member outside the main one becomes the next centre, in up
+    to ``ROUNDS`` rounds. What buckets with more members still leave open is compared in blocks.
     """
     member = classes.select(F.explode("bands").alias("bucket"), "rep")
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
@@ -174,38 +174,43 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     star = member.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     links = checkpoint(_confirm(star, sets, percent))
 
-    # buckets of two are settled by now
-    part = components(links)
-    named = member.filter("n > 2").join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("bucket", "rep", "centre", "n", F.coalesce("component", "rep").alias("component"))
-    main = named.filter("rep = centre").select("bucket", F.col("component").alias("main"))
-    named = named.join(main, "bucket")
-    outside = named.filter("component <> main")
-    centres = outside.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("open"),
-        F.array(*[F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(CENTRES)) == k, F.col("rep"))) for k in range(CENTRES)]).alias("centres"),
-    )
-    centres = centres.withColumn("centres", F.filter("centres", lambda c: c.isNotNull()))
-    open_members = checkpoint(named.join(centres, "bucket"))
-    second = (
-        open_members.select("rep", "component", F.explode("centres").alias("c"))
-        .filter("rep <> c")
-        .select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
+    # every further round: one member outside the main component becomes a centre; buckets of two are settled
+    checked = star
+    left = member.filter("n > 2").select("bucket", "rep", "centre", F.array().cast("array<bigint>").alias("used"))
+    for _ in range(ROUNDS):
+        named = _named(left, links)
+        outside = named.filter((F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep")))
+        new = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("open"), F.min("rep").alias("c"))
+        chosen = new.join(outside.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own")), ["bucket", "c"])
+        named = checkpoint(named.join(chosen, "bucket"))
+        pairs = (
+            named.filter("component <> own")
+            .select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
+            .distinct()
+            .join(checked, ["a", "b"], "left_anti")
+        )
+        pairs = checkpoint(pairs)
+        checked = checked.union(pairs)
+        links = links.union(checkpoint(_confirm(pairs, sets, percent)))
+        left = named.filter("open > 1").select("bucket", "rep", "centre", F.array_append("used", F.col("c")).alias("used"))
+
+    # still open: members outside that were no centres, in more than one component
+    named = _named(left, links)
+    several = (
+        named.filter((F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep"))).select("bucket").distinct()
     )
-    links = links.union(checkpoint(_confirm(second, sets, percent)))
-
-    # open: more members outside than were centres, and still more than one component
-    part = components(links)
-    rest = open_members.filter(F.col("open") > F.size("centres")).drop("component")
-    rest = rest.join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    rest = rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = checkpoint(rest.join(several.select("bucket"), "bucket", "left_semi"))
+    rest = checkpoint(named.select("bucket", "rep", "component").join(several, "bucket", "left_semi"))
     return links.union(_blocks(rest, sets, percent))
 
 
+def _named(left: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds to the bucket members their component and that of the bucket's first centre (main)."""
+    part = components(links).withColumnRenamed("node", "rep")
+    named = left.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    main = named.filter("rep = centre").select("bucket", F.col("component").alias("main"))
+    return named.join(main, "bucket")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of near-duplicates: a row per document with doc_id, n_shingles, component_id and kept.
 
