@@ -21,9 +21,12 @@ def presence_flag(c: ColumnOrName) -> Column:
     return F.when(as_column(c).isNull(), NO).otherwise(YES)
 
 
-def positive_flag(c: ColumnOrName, negative: str) -> Column:
+def positive_flag(c: ColumnOrName, negative: str, case_insensitive: bool = False) -> Column:
     """NO for the negative value and for null, else YES."""
-    return F.when(F.coalesce(as_column(c), F.lit(negative)) == negative, NO).otherwise(YES)
+    value = F.coalesce(as_column(c), F.lit(negative))
+    if case_insensitive:
+        value, negative = F.lower(value), negative.lower()
+    return F.when(value == negative, NO).otherwise(YES)
 
 
 def changed_flag(before: ColumnOrName, after: ColumnOrName) -> Column:

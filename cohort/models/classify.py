@@ -8,6 +8,8 @@ features must be present, otherwise a row is left out of the fit and gets no pre
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,10 +27,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.recode import as_column
+from ..sizing import small_or_plain
 
 TREES = {"rforest", "rpart"}
 WEIGHT = "__weight"
-MAX_LEVELS = 1000
 ROWS_PER_TASK = 50_000  # fits make many small passes: fewer, fuller tasks than a shuffle leaves
 
 
@@ -80,7 +82,8 @@ class Fitted:
             # The earlier level wins a tie.
             best = F.greatest(*averages)
             index = F.coalesce(*[F.when(a == best, float(k)) for k, a in enumerate(averages)])
-        name = F.element_at(F.array(*[F.lit(v) for v in self.levels]), index.cast("int") + 1)
+        levels = F.from_json(F.lit(json.dumps(self.levels)), "array<string>")
+        name = F.element_at(levels, index.cast("int") + 1)
         present = F.lit(True)
         for i, textual in enumerate(self.text):
             if not textual:
@@ -131,8 +134,9 @@ def fit(
 
     ``compressed`` first reduces the training rows to weighted distinct combinations, which suits a
     few categorical features: the fit then costs the same however many rows there are. ``weight``
-    names a column that already holds such counts. (Nets take no weights; a forest on weighted rows
-    is grown without row bagging.)
+    names a column that already holds such counts. Nets and forests are fitted on single rows: nets take no
+    weights, and each tree of a forest draws its own rows. ``mtry`` is the root of the number of features
+    unless given.
     Parameters: ``ntree, mtry, depth`` (forest, tree), ``cost, tol, max_iter`` (svm),
     ``repeats, size, max_iter`` (nnet).
     """
@@ -144,14 +148,18 @@ def fit(
             rows = rows.filter(F.col(c).isNotNull())
     counts = [F.col(weight).alias(WEIGHT)] if weight else []
     rows = rows.withColumn(label, F.col(label).cast("string")).select(label, *features, *counts)
+    if name == "rforest":
+        # a tree draws rows, not counts of rows: combinations are taken apart again
+        if weight:
+            rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(WEIGHT).cast("int")))).drop("__copy", WEIGHT)
+        weight, compressed = None, False
     weighted = weight is not None or (compressed and name != "nnet")
     if weighted and not weight:
         rows = compress(rows, [label, *features])
     prepared = _prepared(rows, features).persist()
     try:
-        found = prepared.groupBy(label).count().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{label} has more than {MAX_LEVELS} classes")
+        # every learner keeps numbers for each class, so the classes themselves fit the driver too
+        found = prepared.groupBy(label).count().collect()
         levels = sorted(r[0] for r in found)
         total = sum(r["count"] for r in found)
         tasks = -(-total // ROWS_PER_TASK)
@@ -159,8 +167,8 @@ def fit(
             return Fitted(name, features, levels, None, [], text)
         trees = name in TREES
         encoder = _encoder(prepared, text, trees, weight_free=name == "nnet").fit(prepared)
-        codes = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(label)) - 1
-        data = encoder.transform(prepared).withColumn("__y", codes.cast("double"))
+        codes = train.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(levels)], f"`{label}` string, __y double")
+        data = encoder.transform(prepared).join(small_or_plain(codes), label)
         keep = ["__x", "__y"] + ([WEIGHT] if weighted else [])
         data = data.select(*keep).coalesce(max(1, tasks))
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__prediction"}
@@ -188,7 +196,7 @@ def fit(
         elif name == "rpart":
             makers = [DecisionTreeClassifier(**common, **scores, **weights, seed=seed, maxDepth=params.get("depth", 5))]
         elif name == "rforest":
-            mtry = min(params.get("mtry", 4), len(features))
+            mtry = min(params.get("mtry", max(1, math.isqrt(len(features)))), len(features))
             makers = [
                 RandomForestClassifier(
                     **common,
@@ -198,7 +206,7 @@ def fit(
                     numTrees=params.get("ntree", 100),
                     featureSubsetStrategy=str(mtry),
                     maxDepth=params.get("depth", 10),
-                    bootstrap=not weights,
+                    bootstrap=True,
                 )
             ]
         elif name == "nnet":

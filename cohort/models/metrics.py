@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def confusion(df: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -48,22 +47,56 @@ def binary_metrics(df: DataFrame, pred: str, truth: str, positive: str = "NO", w
 def chi2_screen(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     """Chi-square test of independence of each column from the label.
 
-    Rows ``(column, statistic, degrees, p_value)``; keep those with a small ``p_value``.
+    Rows ``(column, statistic, degrees, p_value)``; keep those with a small ``p_value``. All columns are
+    counted in one pass; the cells stay distributed however many values a column has, and only one row per
+    column reaches the driver.
     """
     rows = df.na.drop("any", subset=[label, *cols])
-    texts = rows.select(*[F.col(c).cast("string").alias(c) for c in [label, *cols]])
-    codes = [f"__{i}" for i in range(len(cols))]
-    indexed = (
-        StringIndexer(inputCols=[label, *cols], outputCols=["__label", *codes], stringOrderType="alphabetAsc")
-        .fit(texts)
-        .transform(texts)
-    )
-    vectors = VectorAssembler(inputCols=codes, outputCol="__x").transform(indexed)
-    result = ChiSquareTest.test(vectors, "__x", "__label", flatten=True)
-    names = F.array(*[F.lit(c) for c in cols])
-    return result.select(
-        F.element_at(names, F.col("featureIndex") + 1).alias("column"),
-        F.col("statistic"),
-        F.col("degreesOfFreedom").cast("long").alias("degrees"),
-        F.col("pValue").alias("p_value"),
-    )
+    pairs = [F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)]
+    cells = rows.select(F.col(label).cast("string").alias("q"), F.inline(F.array(*pairs))).groupBy("c", "v", "q")
+    cells = cells.agg(F.count(F.lit(1)).cast("double").alias("k"))
+    # the label's counts are the same for every column
+    labels = rows.groupBy(F.col(label).cast("string").alias("q")).agg(F.count(F.lit(1)).cast("double").alias("qn"))
+    size = labels.agg(F.sum("qn").alias("n"), F.count(F.lit(1)).alias("classes")).first()
+    if not size["n"]:
+        return df.sparkSession.createDataFrame([], "column string, statistic double, degrees long, p_value double")
+    expected = F.sum("k").over(Window.partitionBy("c", "v")) * F.col("qn") / F.lit(size["n"])
+    parts = cells.join(labels, "q").withColumn("e", expected)
+    # cells without rows add their expected count, which is what the others leave of the total
+    statistic = F.sum((F.col("k") - F.col("e")) ** 2 / F.col("e")) + F.lit(size["n"]) - F.sum("e")
+    found = parts.groupBy("c").agg(statistic.alias("x"), F.count_distinct("v").alias("values")).orderBy("c").collect()
+    out = []
+    for r in found:
+        degrees = (r["values"] - 1) * (size["classes"] - 1)
+        x = max(r["x"], 0.0)
+        out.append((cols[r["c"]], x, degrees, chi2_tail(x, degrees)))
+    return df.sparkSession.createDataFrame(out, "column string, statistic double, degrees long, p_value double")
+
+
+def chi2_tail(x: float, degrees: int) -> float:
+    """Probability that a chi-square variable exceeds ``x``: the upper incomplete gamma function, regularised."""
+    if degrees <= 0 or x <= 0:
+        return 1.0
+    a, z = degrees / 2, x / 2
+    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:  # series of the lower function
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= z / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    tiny = 1e-300  # continued fraction of the upper function
+    b = z + 1 - a
+    c, d = 1 / tiny, 1 / b
+    value = d
+    for i in range(1, 100_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        value *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return scale * value

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .quantiles import exact_quantiles
+from .quantiles import as_number, exact_quantiles
 
 
 def group_totals(df: DataFrame, keys: Sequence[str], counts: Sequence[str] = (), sums: Sequence[str] = ()) -> DataFrame:
@@ -56,7 +56,7 @@ def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     fields = ["n", "n_missing", "min", "q1", "median", "mean", "q3", "max"]
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = as_number(c)
         aggs += [F.count(x).alias(f"n_{c}"), F.sum(x.isNull().cast("long")).alias(f"z_{c}")]
         aggs += [F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.avg(x).alias(f"m_{c}")]
     values = {
@@ -93,6 +93,12 @@ def prior(df: DataFrame, col: str, value="YES") -> DataFrame:
     return df.agg((F.avg(hit) * 100).alias("prior"))
 
 
+def as_text(df: DataFrame, c: str) -> Column:
+    """A column as text, different values as different texts."""
+    plain = not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.col(c).cast("string") if plain else F.to_json(F.struct(c))
+
+
 def profile(df: DataFrame, dictionary: DataFrame | None = None, exact_distinct: bool = True) -> DataFrame:
     """Quality report: one row per column, checked against a data dictionary.
 
@@ -109,14 +115,17 @@ def profile(df: DataFrame, dictionary: DataFrame | None = None, exact_distinct:
         if not exact_distinct:
             aggs.append(F.approx_count_distinct(c).alias(f"dist_{c}"))
 
-    def n_distinct(c: str) -> Column:
-        """Exact counts read one column each; together they would multiply every row by the columns."""
-        return df.select(c).distinct().agg(F.count(c)).scalar() if exact_distinct else F.col(f"dist_{c}")
-
-    values = {
-        c: [F.col(f"miss_{c}"), n_distinct(c), F.col(f"min_{c}"), F.col(f"max_{c}")] for c in df.columns
-    }
-    report = _one_row_to_many(df.agg(*aggs), ["missing_ratio", "n_distinct", "min", "max"], values)
+    values = {c: [F.col(f"miss_{c}"), F.col(f"min_{c}"), F.col(f"max_{c}")] for c in df.columns}
+    if exact_distinct:
+        # one pass for all columns: (column, value) pairs, made distinct inside each split before they are shuffled
+        pairs = [F.struct(F.lit(c).alias("column"), as_text(df, c).alias("v")) for c in df.columns]
+        distinct = df.select(F.inline(F.array(*pairs))).distinct().groupBy("column").agg(F.count("v").alias("n_distinct"))
+        report = _one_row_to_many(df.agg(*aggs), ["missing_ratio", "min", "max"], values)
+        report = report.join(distinct, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
+    else:
+        values = {c: [v[0], F.col(f"dist_{c}"), *v[1:]] for c, v in values.items()}
+        report = _one_row_to_many(df.agg(*aggs), ["missing_ratio", "n_distinct", "min", "max"], values)
+    report = report.select("column", "missing_ratio", "n_distinct", "min", "max")
     if dictionary is None:
         return report
     declared = dictionary.select(F.col("attribute").alias("column"), F.col("measurement").alias("declared"))

@@ -94,6 +94,7 @@ def dedup_prefer(
     bad,
     keep_if_all_bad: bool = False,
     order_by: Sequence[str] = (),
+    case_insensitive: bool = False,
 ) -> DataFrame:
     """Where a key has several rows, delete those with ``col == bad``.
 
@@ -103,7 +104,8 @@ def dedup_prefer(
     without a shuffle, so nothing is joined.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    is_bad = F.coalesce(F.col(col) == F.lit(bad), F.lit(False))
+    same = F.lower(col) == F.lit(bad.lower()) if case_insensitive else F.col(col) == F.lit(bad)
+    is_bad = F.coalesce(same, F.lit(False))
     tally = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         F.count(F.when(is_bad, 1)).alias("__bad"),

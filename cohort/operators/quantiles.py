@@ -9,6 +9,7 @@ columns and ranks share the passes.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 FETCH_ROWS = 20_000
 _ACCURACY = 10_000
 _MARGIN = 2.0 / _ACCURACY
+_LARGEST = sys.float_info.max
+
+
+def as_number(c: str) -> Column:
+    """A column as double, with NaN as null."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 @dataclass
@@ -56,7 +64,7 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
         for place, i in enumerate(members):
             proposals[i] = tuple(found[2 * place : 2 * place + 2])
     # Halves of the value range, for the case that the sketch does not help.
-    middles = [b.low + (b.high - b.low) / 2 for b in brackets]
+    middles = [max(b.low, -_LARGEST) / 2 + min(b.high, _LARGEST) / 2 for b in brackets]
     counts = []
     for b, (low, high), middle in zip(brackets, proposals, middles):
         c = F.col(b.col)
@@ -77,9 +85,13 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float], fetch: int = FETCH_ROWS
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of the non-null values, ``{column: [one per prob]}``."""
+    """Linearly interpolated quantiles of the known values, ``{column: [one per prob]}``.
+
+    Null and NaN are missing; infinite values count as the smallest and largest.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # NaN is a missing value
+    numbers = df.select(*[as_number(c).alias(c) for c in cols])
     ends = numbers.agg(*[f(c) for c in cols for f in (F.count, F.min, F.max)]).first()
     size = {c: tuple(ends[3 * i : 3 * i + 3]) for i, c in enumerate(cols)}
 
@@ -116,5 +128,5 @@ def exact_quantiles(
         out[c] = [None] * len(probs)
         for i, place in enumerate(places[c]):
             a, z = found[c, math.floor(place)], found[c, min(math.ceil(place), size[c][0] - 1)]
-            out[c][i] = a + (z - a) * (place - math.floor(place))
+            out[c][i] = a if a == z else a + (z - a) * (place - math.floor(place))
     return out

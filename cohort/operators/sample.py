@@ -13,8 +13,7 @@ from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sizing import small_or_plain
-from .shape import append_rows
+from ..sizing import checkpoint, small_or_plain
 
 _DIGITS = 3
 _FETCH = 5_000
@@ -114,46 +113,46 @@ def sample_stratified(
 ) -> DataFrame:
     """Exactly ``floor(n * fraction)`` rows of every stratum; no strata is a simple sample.
 
-    Strata of up to ``rank_rows`` rows are ranked as they are. Of a larger one, digest prefixes are
-    counted and the prefix where its sample ends is looked up; only the rows of that one prefix
-    (1/4096 of the stratum) are ranked, all others are taken or left by comparison.
+    Per stratum, digest prefixes are counted and the prefix in which the sample ends is looked up, again with
+    longer prefixes as long as more than ``rank_rows`` rows share it. Only the rows of that prefix are ranked;
+    the digest found is where the stratum is cut, and all rows are taken or left by comparison.
     """
     if not strata:
         return sample_exact(df, id_col, fraction, seed)
     share = Fraction(str(fraction))
 
-    def wanted(rows: Column) -> Column:
-        return F.floor(rows * F.lit(share.numerator) / F.lit(share.denominator))
-
     # Null is a stratum of its own; the digest decides the order.
     names = [f"__s{i}" for i in range(len(strata))]
     texts = {s: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for s, c in zip(names, strata)}
     keyed = df.withColumns({**texts, "__h": order_hash(id_col, seed)})
     by_stratum = Window.partitionBy(*names)
 
-    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__size"))
-    large = small_or_plain(sizes.filter(F.col("__size") > rank_rows))
-    any_large = not large.isEmpty()
-    small_rows = keyed.join(large, on=names, how="left_anti") if any_large else keyed
-    rank = F.row_number().over(by_stratum.orderBy("__h"))
-    size = F.count(F.lit(1)).over(by_stratum)
-    sampled = small_rows.withColumns({"__r": rank, "__size": size}).filter(F.col("__r") <= wanted(F.col("__size")))
-    sampled = sampled.select(*df.columns)
-    if not any_large:
-        return sampled
-
-    prefix = F.substring("__h", 1, digits)
-    counted = keyed.join(large, on=names, how="inner").groupBy(*names, "__size", prefix.alias("__p"))
-    counted = counted.agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(by_stratum.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    under = F.col("__upto") - F.col("__n")
-    quota = wanted(F.col("__size"))
-    ends = counted.withColumn("__upto", upto).filter((under < quota) & (quota <= F.col("__upto")))
-    ends = ends.select(*names, F.col("__p").alias("__end"), (quota - under).alias("__left"))
-    joined = keyed.withColumn("__p", prefix).join(small_or_plain(ends), on=names, how="inner")
-    inside = joined.filter(F.col("__p") < F.col("__end")).select(*df.columns)
-    edge = joined.filter(F.col("__p") == F.col("__end")).withColumn("__r", rank)
-    return append_rows(sampled, inside, edge.filter(F.col("__r") <= F.col("__left")).select(*df.columns))
+    def ends_of(rows: DataFrame, length: int) -> DataFrame:
+        """The prefix of this length that holds the row wanted (``__left`` from its start), and its row count."""
+        counted = rows.groupBy(*names, "__left", F.substring("__h", 1, length).alias("__end")).agg(F.count(F.lit(1)).alias("__n"))
+        upto = F.sum("__n").over(by_stratum.orderBy("__end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        size = F.sum("__n").over(by_stratum)
+        wanted = F.coalesce("__left", F.floor(size * F.lit(share.numerator) / F.lit(share.denominator)))
+        under = F.col("__upto") - F.col("__n")
+        found = counted.withColumns({"__upto": upto, "__wanted": wanted})
+        found = found.filter((under < F.col("__wanted")) & (F.col("__wanted") <= F.col("__upto")))
+        return checkpoint(found.select(*names, "__end", (F.col("__wanted") - under).alias("__left"), "__n"))
+
+    def inside(ends: DataFrame) -> DataFrame:
+        found = keyed.select(*names, "__h").join(small_or_plain(ends.select(*names, "__end", "__left")), on=names)
+        return found.filter(F.startswith("__h", F.col("__end")))
+
+    length = digits
+    ends = ends_of(keyed.select(*names, "__h", F.lit(None).cast("long").alias("__left")), length)
+    while length < 32:
+        deep = ends.filter(F.col("__n") > rank_rows)
+        if deep.isEmpty():
+            break
+        length += digits
+        ends = checkpoint(ends.filter(F.col("__n") <= rank_rows).unionByName(ends_of(inside(deep), length)))
+    ranked = inside(ends).withColumn("__r", F.row_number().over(by_stratum.orderBy("__h")))
+    cuts = ranked.filter(F.col("__r") == F.col("__left")).select(*names, F.col("__h").alias("__cut"))
+    return keyed.join(small_or_plain(cuts), on=names).filter(F.col("__h") <= F.col("__cut")).select(*df.columns)
 
 
 def _uniform(id_col: str, seed) -> Column:
@@ -161,12 +160,16 @@ def _uniform(id_col: str, seed) -> Column:
     return F.conv(F.substring(order_hash(id_col, seed), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def poisson_steps(limit: int = 12) -> list[float]:
-    """Cumulative probabilities of a Poisson(1) count: P(X <= 0), P(X <= 1), ..."""
-    out, total = [], 0.0
-    for k in range(limit):
+def poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count: P(X <= 0), P(X <= 1), ...
+
+    They go on until what is left lies below 2**-48, the resolution of the draw, so no draw is cut.
+    """
+    out, total, k = [], 0.0, 0
+    while 1 - total >= 2.0**-48:
         total += exp(-1) / factorial(k)
         out.append(total)
+        k += 1
     return out
 
 

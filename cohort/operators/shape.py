@@ -43,9 +43,10 @@ def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.na.drop("any", subset=list(cols) if cols else None)
 
 
-def drop_values(df: DataFrame, col: str, bad: Sequence) -> DataFrame:
+def drop_values(df: DataFrame, col: str, bad: Sequence, case_insensitive: bool = False) -> DataFrame:
     """Delete rows holding one of the invalid values; null is kept."""
-    return df.filter(F.col(col).isNull() | ~F.col(col).isin(*bad))
+    value = F.lower(col) if case_insensitive else F.col(col)
+    return df.filter(F.col(col).isNull() | ~value.isin(*[b.lower() if case_insensitive else b for b in bad]))
 
 
 def delete_keys(df: DataFrame, keys: DataFrame | Sequence[Mapping], on: Sequence[str] | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def apply_rules(df: DataFrame, rules: Sequence[tuple[Column, str, Column | str |
     return df
 
 
-def collapse_rare(df: DataFrame, col: str, min_count: int, other: str = "other") -> DataFrame:
+def collapse_rare(df: DataFrame, col: str, min_count: int | Column, other: str = "other") -> DataFrame:
     """Replace values seen fewer than ``min_count`` times; null stays null.
 
     Frequent values are never more than rows / min_count; they are broadcast only if few.

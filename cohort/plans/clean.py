@@ -304,7 +304,7 @@ def model_fills(df: DataFrame, height_model: str = "rforest", **height_params) -
     return ml.fill_by_model(df, "DiseaseSite", care)
 
 
-def clean_table(wide: DataFrame, salt: str = "", algo: str = "sha256", **height_params) -> DataFrame:
+def clean_table(wide: DataFrame, salt: str, algo: str = "sha256", **height_params) -> DataFrame:
     """The 51-column table without subjects who died."""
     rows = tests_and_delays(symptoms(treatment(measures(people(checkpoint(typed(wide)))))))
     filled = model_fills(checkpoint(rows), **height_params)

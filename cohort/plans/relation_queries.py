@@ -42,7 +42,7 @@ def cohort_outcome(t: Tables) -> DataFrame:
     orders = t.orders.select(
         F.col("o_custkey").alias("subject"), F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_orderstatus"
     )
-    days = op.restrict_to(op.pick_one(orders, ["subject", "day"], ["-o_orderkey"]), cohort, "subject")
+    days = op.pick_one(op.restrict_to(orders, cohort, "subject"), ["subject", "day"], ["-o_orderkey"])
     earlier = F.lag("day").over(Window.partitionBy("subject").orderBy("day"))
     last = op.latest(days.withColumn("delay", fn.day_gap("day", earlier)), "subject", "day")
     outcome = last.select(
@@ -59,11 +59,10 @@ def cohort_outcome(t: Tables) -> DataFrame:
     "inner_join",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE o_orderstatus = 'F'
     """,
 )
 def inner_join(t: Tables) -> DataFrame:
-    finished = t.orders.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+    finished = t.orders.select("o_orderkey", "o_custkey")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     return op.inner(lines, finished, {"l_orderkey": "o_orderkey"})
 
@@ -175,28 +174,30 @@ def pick_one_mixed(t: Tables) -> DataFrame:
 @query(
     "dedup_prefer",
     """
-    WITH d AS (SELECT event_id, user_id, event_type FROM events WHERE value < 2 OR user_id % 3 = 0)
-    SELECT * FROM d WHERE NOT (event_type = 'view'
-        AND user_id IN (SELECT user_id FROM d GROUP BY user_id HAVING count(*) > 1))
+    WITH d AS (SELECT event_id, user_id, ts::date::varchar AS day,
+                      CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS event_type FROM events)
+    SELECT * FROM d QUALIFY NOT (lower(event_type) = 'view' AND count(*) OVER (PARTITION BY user_id, day) > 1)
     """,
 )
 def dedup_prefer(t: Tables) -> DataFrame:
-    events = t.events.filter((F.col("value") < 2) | (F.col("user_id") % 3 == 0))
-    return op.dedup_prefer(events.select("event_id", "user_id", "event_type"), "user_id", "event_type", "view")
+    mixed = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    events = t.events.select("event_id", "user_id", F.to_date("ts").cast("string").alias("day"), mixed.alias("event_type"))
+    return op.dedup_prefer(events, ["user_id", "day"], "event_type", "view", case_insensitive=True)
 
 
 @query(
     "dedup_keep_one",
     """
-    WITH d AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'),
-         k AS (SELECT *, bool_and(o_orderstatus = 'P') OVER (PARTITION BY o_custkey) AS all_bad,
-                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM d)
-    SELECT o_orderkey, o_custkey, o_orderstatus FROM k WHERE o_orderstatus <> 'P' OR (all_bad AND rn = 1)
+    WITH d AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders),
+         k AS (SELECT *, bool_and(o_orderstatus = 'P') OVER (PARTITION BY o_custkey, o_orderpriority) AS all_bad,
+                      row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS rn FROM d)
+    SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM k WHERE o_orderstatus <> 'P' OR (all_bad AND rn = 1)
     """,
 )
 def dedup_keep_one(t: Tables) -> DataFrame:
-    urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return op.dedup_prefer(urgent, "o_custkey", "o_orderstatus", "P", keep_if_all_bad=True, order_by=["-o_orderkey"])
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    keys = ["o_custkey", "o_orderpriority"]
+    return op.dedup_prefer(orders, keys, "o_orderstatus", "P", keep_if_all_bad=True, order_by=["-o_orderkey"])
 
 
 @query(

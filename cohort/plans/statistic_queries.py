@@ -10,6 +10,7 @@ from .. import functions as fn
 from .. import models as ml
 from .. import operators as op
 from .. import sources as src
+from ..operators.sample import poisson_steps
 from ..sizing import literal_rows, shared_folder
 from .catalog import Tables, holed, query
 
@@ -273,7 +274,7 @@ _DRAW = "('0x' || substr(md5('9|' || o_orderkey), 1, 12))::bigint"
 @query(
     "bootstrap",
     f"""
-    WITH steps AS (SELECT k, sum(exp(-1) / factorial(k::int)) OVER (ORDER BY k) AS upto FROM range(12) r(k)),
+    WITH steps AS (SELECT k, sum(exp(-1) / factorial(k::int)) OVER (ORDER BY k) AS upto FROM range({len(poisson_steps())}) r(k)),
          d AS (SELECT o_orderkey, {_DRAW}::double / pow(16, 12) AS u FROM orders),
          c AS (SELECT o_orderkey, (SELECT count(*) FROM steps WHERE upto <= u) AS copies FROM d)
     SELECT o_orderkey FROM (SELECT o_orderkey, unnest(range(copies)) FROM c)
@@ -327,13 +328,23 @@ _CHI_SQL = """
           o AS (SELECT v, q, vn * qn / n AS e, coalesce(k, 0) AS k
                 FROM (SELECT v, count(*) AS vn FROM d GROUP BY 1) CROSS JOIN (SELECT q, count(*) AS qn FROM d GROUP BY 1)
                 CROSS JOIN (SELECT count(*) AS n FROM d) LEFT JOIN (SELECT v, q, count(*) AS k FROM d GROUP BY 1, 2) USING (v, q))
-     SELECT '{c}' AS "column", round(sum((k - e) * (k - e) / e), 6) AS statistic,
+     SELECT '{c}' AS "column", sum((k - e) * (k - e) / e) AS x,
             ((count(DISTINCT v) - 1) * (count(DISTINCT q) - 1))::bigint AS degrees FROM o)
 """
 
 
-@query("chi2_table", " UNION ALL ".join(_CHI_SQL.format(c=c) for c in ("lang", "source")))
+# The tail of the density by Simpson's rule.
+_CHI_TAIL = """
+    SELECT "column", round(x, 6) AS statistic, degrees, (
+        SELECT round(sum(w * pow(x + i * 0.01, degrees / 2.0 - 1) * exp(-(x + i * 0.01) / 2)) * 0.01 / 3
+               / (pow(2, degrees / 2.0) * gamma(degrees / 2.0)), 6)
+        FROM (SELECT i, CASE WHEN i IN (0, 40000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(40001) r(i))) AS p_value
+    FROM ({found})
+"""
+
+
+@query("chi2_table", _CHI_TAIL.format(found=" UNION ALL ".join(_CHI_SQL.format(c=c) for c in ("lang", "source"))))
 def chi2_table(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id").select("quality", "lang", "source")
     out = ml.chi2_screen(rows, "quality", ["lang", "source"])
-    return out.select("column", F.round("statistic", 6).alias("statistic"), "degrees")
+    return out.select("column", F.round("statistic", 6).alias("statistic"), "degrees", F.round("p_value", 6).alias("p_value"))

@@ -157,7 +157,7 @@ def strip_upper(t: Tables) -> DataFrame:
 )
 def collapse_rare(t: Tables) -> DataFrame:
     # The threshold follows the table: brands below the average count are rare.
-    average = op.freq(t.part, "p_brand").agg(F.avg("n")).first()[0]
+    average = op.freq(t.part, "p_brand").agg(F.avg("n")).scalar()
     brands = op.collapse_rare(t.part.select(F.col("p_brand").alias("brand")), "brand", average)
     return op.freq(brands, "brand")
 
@@ -199,7 +199,7 @@ def rules_consistency(t: Tables) -> DataFrame:
     """
     SELECT event_id, try_cast(regexp_extract(substr(props, 7), '^\\s*(\\d+)', 1) AS int) AS k,
            try_cast(props AS double) AS not_a_number,
-           try_cast(substr(event_id::varchar, 1, 3) || '.5' AS double) AS number,
+           try_cast(event_id::varchar || '.5' AS double) AS number,
            strftime(try_cast('2023-' || lpad((event_id % 14)::varchar, 2, '0') || '-' || lpad((user_id % 33)::varchar, 2, '0')
                AS date), '%Y-%m-%d') AS day
     FROM events
@@ -212,7 +212,7 @@ def lenient_parse(t: Tables) -> DataFrame:
         "event_id",
         fn.lenient_int(F.substr("props", F.lit(7))).alias("k"),
         fn.lenient_number("props").alias("not_a_number"),
-        fn.lenient_number(F.concat(F.substring(F.col("event_id").cast("string"), 1, 3), F.lit(".5"))).alias("number"),
+        fn.lenient_number(F.concat(F.col("event_id").cast("string"), F.lit(".5"))).alias("number"),
         fn.parse_date(day).cast("string").alias("day"),
     )
 
@@ -315,7 +315,7 @@ def flags(t: Tables) -> DataFrame:
     return t.labelled.select(
         "doc_id",
         fn.presence_flag("quality").alias("labelled"),
-        fn.positive_flag("lang", "en").alias("foreign_text"),
+        fn.positive_flag("lang", "EN", case_insensitive=True).alias("foreign_text"),
         fn.has_value("quality").alias("has_label"),
         fn.label("source", ["src1", "src2", "src3"]).alias("trusted"),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
 from .. import operators as op
-from ..sizing import checkpoint
+from ..sizing import checkpoint, small_or_plain
 from ..sources import write_csv
 
 Source = Mapping[str, DataFrame]
@@ -94,6 +94,12 @@ FEET_BELOW, CM_PER_FOOT = 40, 30.48
 POUNDS_ABOVE, KG_PER_POUND = 140, 0.4535
 BASELINE_WEIGHT_LIMIT = 200
 
+#: The column of each record table that names the subject.
+SUBJECT = {
+    **dict.fromkeys(["enc_suspect_id", "enc_baseline", "enc_cdf", "enc_end_fol"], "PID1"),
+    **dict.fromkeys(["sputumresults", "genexpertresults", "xrayresults"], "PatientID"),
+}
+
 WIDE_COLUMNS = [
     "PatientID", "GP", "GPQualification", "GPSpeciality", "Screener", "DOB", "BirthYear", "ScreeningAge",
     "Gender", "MaritalStatus", "Religion", "Caste", "Weight", "Height", "ScreeningDate", "ScreeningYear",
@@ -199,7 +205,7 @@ def smears(a: Source, b: Source) -> DataFrame:
     union = _both(a["sputumresults"], b["sputumresults"], columns, None, second)
     union = union.filter((F.col("Month") == 0) & F.col("SmearResult").isNotNull())
     union = union.withColumn("SmearResult", fn.recode("SmearResult", SMEARS, case_insensitive=True))
-    kept = op.dedup_prefer(union, "PatientID", "SmearResult", "NEGATIVE")
+    kept = op.dedup_prefer(union, "PatientID", "SmearResult", "NEGATIVE", case_insensitive=True)
     return op.pick_one(kept, "PatientID", ["DateTested", "SputumTestID"])
 
 
@@ -214,14 +220,14 @@ def gene_tests(a: Source, b: Source) -> DataFrame:
         "Remarks": "Details",
         "DrugResistance": "GeneXpertResistance",
     }
-    union = op.drop_values(_both(first, second, columns, None, renamed), "GeneXpertResult", INVALID_GENE_TESTS)
+    union = op.drop_values(_both(first, second, columns, None, renamed), "GeneXpertResult", INVALID_GENE_TESTS, True)
     union = union.withColumns(
         {
             "GeneXpertResult": fn.recode_like("GeneXpertResult", GENE_RESULTS, case_insensitive=True),
             "DrugResistance": fn.recode_like("DrugResistance", RESISTANCE, case_insensitive=True),
         }
     )
-    kept = op.dedup_prefer(union, "PatientID", "GeneXpertResult", "NEGATIVE")
+    kept = op.dedup_prefer(union, "PatientID", "GeneXpertResult", "NEGATIVE", case_insensitive=True)
     return op.pick_one(kept, "PatientID", ["DateTested", "LaboratoryID"])
 
 
@@ -231,7 +237,7 @@ def xrays(a: Source, b: Source) -> DataFrame:
     renamed = {"XRayResults": "XRayResult"}
     union = _both(a["xrayresults"], b["xrayresults"], columns, None, renamed, distinct=False)
     baseline = _both(a["enc_baseline"], b["enc_baseline"], ["PID1", "EnteredDate"], distinct=False)
-    union = op.drop_values(union.filter(F.col("XRayResults").isNotNull()), "XRayResults", INVALID_XRAYS)
+    union = op.drop_values(union.filter(F.col("XRayResults").isNotNull()), "XRayResults", INVALID_XRAYS, True)
     # Per subject the earliest X-ray is the one to pick, and if any lies before the reference it does.
     first = op.pick_one(union.filter(F.col("XRayDate").isNotNull()), "PatientID", ["XRayDate", "DateReported"])
     return op.before(first, baseline, {"PatientID": "PID1"}, "XRayDate", "EnteredDate")
@@ -340,10 +346,21 @@ def treatment_outcome(a: Source, b: Source, cohort: DataFrame | None = None) ->
 
 
 def wide_table(
-    a: Source, b: Source, known_bad: list[Mapping] = (), salt: str = "", check: bool = False
+    a: Source, b: Source, known_bad: list[Mapping] = (), salt: str = "", check: bool = True
 ) -> DataFrame:
-    """The 84-column table; ``check`` raises where a stage repeats a subject."""
+    """The 84-column table, one row per subject; ``check`` raises where a stage repeats a subject.
+
+    All records are restricted to the cohort as they are read, before anything is aggregated.
+    """
     cohort = checkpoint(patients(a, b))
+    keys = small_or_plain(cohort.select("PatientID").distinct())
+    a, b = (
+        {
+            name: df.join(keys.withColumnRenamed("PatientID", SUBJECT[name]), SUBJECT[name], "left_semi") if name in SUBJECT else df
+            for name, df in s.items()
+        }
+        for s in (a, b)
+    )
     stages = [
         screening(a, b, known_bad=known_bad),
         *baseline_results(a, b),
@@ -352,7 +369,7 @@ def wide_table(
         treatment_outcome(a, b),
     ]
     if check:
-        for stage in [cohort, *[_restricted(s, cohort) for s in stages]]:
+        for stage in [cohort, *stages]:
             op.assert_unique(stage, "PatientID")
     screened, *rest = stages
     joined = op.assemble(op.inner(cohort, screened.drop("EncounterID"), "PatientID"), rest, "PatientID")
@@ -366,11 +383,11 @@ def wide_table(
         "ScreeningYear": F.year("ScreeningDate"),
         "RegistrationYear": F.year("DateRegistered"),
         "SmearTested": fn.presence_flag("SmearResult"),
-        "SmearPositive": fn.positive_flag("SmearResult", "NEGATIVE"),
+        "SmearPositive": fn.positive_flag("SmearResult", "NEGATIVE", True),
         "XRayDone": fn.presence_flag("XRayResults"),
-        "XRayIndicative": fn.positive_flag("XRayResults", "NORMAL"),
+        "XRayIndicative": fn.positive_flag("XRayResults", "NORMAL", True),
         "GeneXpertTested": fn.presence_flag("GeneXpertResult"),
-        "GXPPositive": fn.positive_flag("GeneXpertResult", "NEGATIVE"),
+        "GXPPositive": fn.positive_flag("GeneXpertResult", "NEGATIVE", True),
         "GXPDelay": fn.day_gap("DateSputumTested", "DateGXPTested"),
         "TreatmentDuration": fn.day_gap("TreatmentEndDate", "BaselineDate"),
     }

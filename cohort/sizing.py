@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,14 +28,17 @@ def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    One is chosen here only for a local master with none set, as in tests.
+    One is chosen here only for a master of a single process with none set, as in tests; it goes with the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohort-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="cohort-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 

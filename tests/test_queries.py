@@ -2,26 +2,26 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cohort.plans import all_queries
 from compare import differences
 
 SMALL = "/root/testdata/sf0.001"
-# Covered by tests/test_models.py and by their counterparts on one feature.
-SLOW = {"run_grid", "screen_columns", "tune_bootstrap", "cross_validate", "forward_select", "analyze"}
+QUERIES, ORACLES = all_queries()
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, con, name):
-    assert differences(queries()[name](spark, SMALL), con, oracle_sql()[name]) is None
+    assert differences(QUERIES[name](spark, SMALL), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
-    assert queries()[name](spark, SMALL).count() > 0
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_every_counterpart_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
