@@ -169,7 +169,9 @@ def fit(
         encoder = _encoder(prepared, text, trees, weight_free=name == "nnet").fit(prepared)
         codes = train.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(levels)], f"`{label}` string, __y double")
         data = encoder.transform(prepared).join(small_or_plain(codes), label)
-        keep = ["__x", "__y"] + ([WEIGHT] if weighted else [])
+        # named to the learners, which else guess the classes and stop at a hundred
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": len(levels)}}
+        keep = ["__x", F.col("__y").alias("__y", metadata=nominal)] + ([WEIGHT] if weighted else [])
         data = data.select(*keep).coalesce(max(1, tasks))
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__prediction"}
         scores = {"probabilityCol": "__probability", "rawPredictionCol": "__raw"}
