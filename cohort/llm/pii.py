@@ -225,8 +225,9 @@ def added_spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def _with_added(docs: DataFrame, **options) -> DataFrame:
-    added = added_spans(docs, **options)
-    return docs.withColumn("_key", F.md5(F.encode("text", "UTF-8"))).join(added, F.col("_key") == added["key"], "left").drop("_key", "key")
+    added = added_spans(docs, **options).withColumnsRenamed({"key": "__pii_key", "added": "__pii_added"})
+    keyed = docs.withColumn("__pii_key", F.md5(F.encode("text", "UTF-8")))
+    return keyed.join(added, "__pii_key", "left").select(*docs.columns, "__pii_added")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:

@@ -13,10 +13,12 @@ from cohort.llm.textops import ALPHANUMERIC, U64, hash_spans, mix, word_spans
 #: Words of a window, and how far the next one begins after it.
 WINDOW, STRIDE = 24, 12
 HIDDEN, INPUT = 12, 16
-WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
+WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13
 #: Bounds of the sample that the network is fitted on: labelled rows of each class, and bytes of a row's text.
 TOXIC_ROWS, CLEAN_ROWS, TEXT_BYTES = 1500, 3000, 20_000
 BLOCK_BYTES = 2_000_000
+#: Training steps that small samples get as well.
+STEPS = 400
 
 
 class Words:
@@ -30,15 +32,21 @@ class Words:
         self.first = np.searchsorted(begin, np.append(0, np.cumsum(size)))  # each text's first word
         hashes, at, self.word = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
         self.row = (hashes % U64(WORD_ROWS)).astype(np.int32)
-        # letters in threes, with the word's edges
+        # letters in threes, with the word's edges (letters: how many such parts a word has)
         clear = np.zeros(len(data) + 2, np.uint64)
         clear[1:-1] = np.where(ALPHANUMERIC[data], data, 0)
         begin, self.letters = begin[at], end[at] - begin[at]
         stop = np.cumsum(self.letters)
         place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - self.letters), self.letters)
         three = clear[place] << U64(16) | clear[place + 1] << U64(8) | clear[place + 2]
-        self.char = (mix(three) % U64(CHAR_ROWS)).astype(np.int32)
-        self.char_at = stop - self.letters
+        # and each word's beginning
+        start = np.zeros(len(begin), np.uint64)
+        for k in range(6):
+            start = start << U64(8) | np.where(self.letters > k, clear[np.minimum(begin + 1 + k, len(data))], U64(0))
+        char = np.insert(three, stop, start | U64(1 << 60))
+        self.char = (mix(char) % U64(CHAR_ROWS)).astype(np.int32)
+        self.letters = self.letters + 1
+        self.char_at = np.cumsum(self.letters) - self.letters
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(window x WINDOW) word numbers, -1 beyond a text's end, and each window's text. Every word is in one."""
@@ -154,14 +162,26 @@ def _step(p: dict, words: Words, windows: np.ndarray, target: np.ndarray) -> dic
     return g
 
 
-def _telling_windows(words: Words, windows: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """A first guess of how toxic each window is: its most telling word by the odds over the sample's texts."""
+def _odds(owner: np.ndarray, item: np.ndarray, n: int, toxic: np.ndarray) -> np.ndarray:
+    """Log odds of each item to occur in a toxic text, by the number of texts that have it."""
+    pairs = np.unique(np.stack([owner, item]), axis=1)
+    bad = np.bincount(pairs[1], weights=toxic[pairs[0]], minlength=n) + 1.0
+    good = np.bincount(pairs[1], weights=1 - toxic[pairs[0]], minlength=n) + 1.0
+    return np.log(bad / toxic.sum()) - np.log(good / (1 - toxic).sum())
+
+
+def _telling_words(words: Words, toxic: np.ndarray) -> np.ndarray:
+    """A first guess of how telling each distinct word is: by its own odds and those of its most telling letters.
+
+    The last entry stands for places beyond a text's end.
+    """
     owner = np.repeat(np.arange(len(toxic)), np.diff(words.first))
-    pairs = np.unique(np.stack([owner, words.word]), axis=1)
-    n = len(words.row)
-    bad = np.bincount(pairs[1], weights=toxic[pairs[0]], minlength=n) + 0.1
-    good = np.bincount(pairs[1], weights=1 - toxic[pairs[0]], minlength=n) + 0.1
-    return np.append(np.log(bad / toxic.sum()) - np.log(good / (1 - toxic).sum()), -99)[windows].max(1)
+    n = words.letters[words.word]
+    stop = np.cumsum(n)
+    at = np.arange(stop[-1]) + np.repeat(words.char_at[words.word] - (stop - n), n)
+    char = _odds(np.repeat(owner, n), words.char[at], CHAR_ROWS, toxic)
+    own = _odds(owner, words.word, len(words.row), toxic)
+    return np.append(np.maximum(1.5 * own, own / 2 + np.maximum.reduceat(char[words.char], words.char_at)), -99)
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = 6, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
@@ -169,29 +189,49 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, seed: int = 7, ra
 
     A label holds for some window of the text, not for all: a toxic text is represented by its most toxic
     window, first by the odds of its words and then by the network itself; a clean one by its worst and by
-    random windows. Adam on batches of 128 windows. Last, scores of whole texts are calibrated.
+    random windows. In half of the windows most words but the most telling one are exchanged for words of clean
+    texts, so that the network does not learn its sample by heart. Toxic texts without words or letters
+    that others share are left out, since such labels are mistakes or can't be learned from. Adam on batches of 128 windows, for ``epochs`` epochs or at least ``STEPS`` steps. Last,
+    scores of whole texts are calibrated.
     """
     rng, toxic = np.random.default_rng(seed), np.asarray(toxic, float)
     words = Words(texts)
     windows, text = words.windows()
     p = _parameters(rng)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    guess, steps = _telling_windows(words, windows, text, toxic), 0
+    telling = _telling_words(words, toxic)
+    guess, steps = telling[windows].max(1), 0
+    # what a word and letters say that three toxic texts share and no clean one has
+    enough = 1.5 * np.log(4 * (1 - toxic).sum() / toxic.sum())
+    evidence = np.full(len(toxic), -99.0)
+    np.maximum.at(evidence, text, guess)
+    trusted = (toxic == 0) | (evidence >= enough)
+    if not trusted[toxic == 1].any():
+        trusted[:] = True
+    # words of clean texts, to put in the place of others
+    other = words.word[np.repeat(toxic == 0, np.diff(words.first))]
+    epochs = max(epochs, -(-STEPS * 128 // max(1, 2 * len(texts))))
     for epoch in range(epochs):
         order = np.lexsort((guess, text))
         worst = order[np.append(text[order][1:] != text[order][:-1], True)]
-        some = rng.choice(len(windows), min(len(windows), 2 * len(worst)), replace=False)
+        worst = worst[trusted[text[worst]]]
+        some = rng.choice(len(windows), min(len(windows), 3 * len(worst)), replace=False)
         chosen = np.concatenate([worst, some[toxic[text[some]] == 0]])
         chosen = rng.permutation(chosen)
         for at in range(0, len(chosen), 128):
             batch = chosen[at : at + 128]
             steps += 1
-            for k, g in _step(p, words, windows[batch], toxic[text[batch]]).items():
+            some = windows[batch].copy()
+            swap = (rng.random(some.shape) < rng.choice([0.0, 0.6], (len(some), 1))) & (some >= 0)
+            swap[np.arange(len(some)), telling[some].argmax(1)] = False
+            some[swap] = rng.choice(other, int(swap.sum()))
+            for k, g in _step(p, words, some, toxic[text[batch]]).items():
                 a, b = moment[k]
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
-                p[k] -= (rate * 0.7**epoch) * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.99**steps)) + 1e-8)
-        if epoch >= 1:
+                p[k] -= (rate * 0.12 ** (epoch / epochs)) * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.99**steps)) + 1e-8)
+        # the network itself picks the windows from the second of six parts on
+        if (epoch + 1) * 6 // epochs > max(1, epoch * 6 // epochs):
             guess = logits(p, words, windows)
     top = np.full(len(toxic), -20.0)
     np.maximum.at(top, text, logits(p, words, windows))
