@@ -105,7 +105,7 @@ def test_restriction_lies_below_the_aggregates(spark):
 
     plan = queries()["cohort_outcome"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     first = plan.index("Join LeftSemi")
-    assert "max_by" in plan[:first] and "max_by" not in plan[first:]  # the pick lies above the restriction
+    assert "max(struct" in plan[:first] and "max(struct" not in plan[first:]  # the picks lie above the restriction
 
 
 def test_wide_table_refuses_repeated_subjects(spark):
