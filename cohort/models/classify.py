@@ -137,7 +137,7 @@ def fit(
     names a column that already holds such counts. Nets and forests are fitted on single rows: nets take no
     weights, and each tree of a forest draws its own rows. ``mtry`` is the root of the number of features
     unless given.
-    Parameters: ``ntree, mtry, depth`` (forest, tree), ``cost, tol, max_iter`` (svm),
+    Parameters: ``ntree, mtry, depth, bootstrap`` (forest, tree), ``cost, tol, max_iter`` (svm),
     ``repeats, size, max_iter`` (nnet).
     """
     features = list(features)
@@ -208,7 +208,7 @@ def fit(
                     numTrees=params.get("ntree", 100),
                     featureSubsetStrategy=str(mtry),
                     maxDepth=params.get("depth", 10),
-                    bootstrap=True,
+                    bootstrap=params.get("bootstrap", True),
                 )
             ]
         elif name == "nnet":
