@@ -5,6 +5,7 @@ def all_queries():
     """All registered queries and their SQL counterparts."""
     from . import (  # noqa: F401
         catalog,
+        clean_queries,
         decided_queries,
         model_queries,
         relation_queries,

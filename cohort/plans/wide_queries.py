@@ -143,8 +143,6 @@ def drug_history(t: Tables) -> DataFrame:
 
 
 
-
-
 @query(
     "follow_ups",
     _with(
