@@ -168,7 +168,10 @@ def fit(
         trees = name in TREES
         encoder = _encoder(prepared, text, trees, weight_free=name == "nnet").fit(prepared)
         codes = train.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(levels)], f"`{label}` string, __y double")
-        data = encoder.transform(prepared).join(small_or_plain(codes), label)
+        ordered = prepared
+        if name == "rforest":  # trees draw rows by their place: the same rows give the same trees
+            ordered = prepared.coalesce(max(1, tasks)).sortWithinPartitions(*prepared.columns)
+        data = encoder.transform(ordered).join(small_or_plain(codes), label)
         # named to the learners, which else guess the classes and stop at a hundred
         nominal = {"ml_attr": {"type": "nominal", "num_vals": len(levels)}}
         keep = ["__x", F.col("__y").alias("__y", metadata=nominal)] + ([WEIGHT] if weighted else [])

@@ -70,7 +70,8 @@ def test_cohort_distinct_shuffle_is_the_join_shuffle(spark, no_broadcast):
 @pytest.mark.parametrize("name", ["surrogate_ids", "sample_stratified", "delay_bins", "cohort_outcome"])
 def test_windows_are_partitioned(spark, name):
     text = plan(queries()[name](spark, SMALL))
-    assert "Window" in text and "SinglePartition" not in text
+    assert "SinglePartition" not in text
+    assert "Window" in text or name == "sample_stratified"  # its cuts are found before and joined as a small table
 
 
 def test_broadcast_only_when_small(spark, no_broadcast):
