@@ -114,44 +114,44 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside the buckets (bucket, rep, component) that stars have left open, a block pair at a time.
+    """Links inside the buckets (bucket, rep, component, open) that stars have left open, a block pair at a time.
 
-    A bucket is cut into blocks of about ``BLOCK`` members. Each pair of blocks is one small task's group; it
-    skips what is linked already and hands on a spanning forest, never all pairs.
+    Only the open members still have to be compared, each with all members of its bucket. Both are cut into
+    blocks of about ``BLOCK``, and each pair of an open and a member block is one small task's group; it skips
+    what is linked already and hands on a spanning forest, never all pairs. A member is sent once for each
+    open block, of which most buckets have one.
     """
-    sized = rest.join(rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")), "bucket")
-    mine = F.pmod(F.xxhash64("rep", "bucket"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = (
-        sized.withColumn("x", mine)
-        .withColumn("y", other)
-        .select("bucket", "rep", "component", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-        .join(sets, "rep")
+    size = rest.groupBy("bucket").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("o")
     )
+    sized = rest.join(size, "bucket")
+    block = lambda count: F.pmod(F.xxhash64("rep", "bucket"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asking = sized.filter("open").select("bucket", "rep", "component", block("o").alias("i"), every("n").alias("j"), F.lit(True).alias("asks"))
+    asked = sized.select("bucket", "rep", "component", every("o").alias("i"), block("n").alias("j"), F.lit(False).alias("asks"))
+    dealt = asking.union(asked).join(sets, "rep")
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        links, root = [], {r: c for r, c in zip(group["rep"], group["component"])}
-        reps, home = group["rep"].tolist(), group["x"].tolist()
-        found = [np.asarray(s) for s in group["shingles"]]
-        size, within = np.array([len(s) for s in found]), key[1] == key[2]
-        parent = {c: c for c in root.values()}
+        links, parent = [], {c: c for c in group["component"].tolist()}
 
         def find(c):
             while parent[c] != c:
                 c = parent[c]
             return c
 
-        for p in range(len(reps)):
-            for q in range(p):
-                if home[p] == home[q] and not within:
-                    continue
-                a, b = find(root[reps[p]]), find(root[reps[q]])
-                low, high = sorted((size[p], size[q]))
+        rows = [
+            (rep, home, np.asarray(found), asks)
+            for rep, home, found, asks in zip(group["rep"].tolist(), group["component"].tolist(), group["shingles"], group["asks"])
+        ]
+        for x, home, mine, _ in (r for r in rows if r[3]):
+            for y, other, theirs, _ in (r for r in rows if not r[3]):
+                a, b = find(home), find(other)
+                low, high = sorted((len(mine), len(theirs)))
                 if a == b or 100 * low < percent * high:
                     continue
-                both = len(np.intersect1d(found[p], found[q], assume_unique=True))
-                if 100 * both >= percent * (size[p] + size[q] - both):
-                    links.append((reps[p], reps[q]))
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                    links.append((x, y))
                     parent[max(a, b)] = min(a, b)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -195,11 +195,10 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
         left = named.filter("open > 1").select("bucket", "rep", "centre", F.array_append("used", F.col("c")).alias("used"))
 
     # still open: members outside that were no centres, in more than one component
-    named = _named(left, links)
-    several = (
-        named.filter((F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep"))).select("bucket").distinct()
-    )
-    rest = checkpoint(named.select("bucket", "rep", "component").join(several, "bucket", "left_semi"))
+    unasked = (F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep"))
+    named = _named(left, links).withColumn("open", unasked)
+    several = named.filter("open").select("bucket").distinct()
+    rest = checkpoint(named.select("bucket", "rep", "component", "open").join(several, "bucket", "left_semi"))
     return links.union(_blocks(rest, sets, percent))
 
 
