@@ -31,18 +31,19 @@ class Words:
         size = np.array([len((t or "").lower().encode("utf-8", "replace")) + 1 for t in texts], np.int64)
         self.first = np.searchsorted(begin, np.append(0, np.cumsum(size)))  # each text's first word
         hashes, at, self.word = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
+        self.word = self.word.astype(np.int32)
         self.row = (hashes % U64(WORD_ROWS)).astype(np.int32)
         # letters in threes, with the word's edges (letters: how many such parts a word has)
-        clear = np.zeros(len(data) + 2, np.uint64)
+        clear = np.zeros(len(data) + 2, np.uint8)
         clear[1:-1] = np.where(ALPHANUMERIC[data], data, 0)
         begin, self.letters = begin[at], end[at] - begin[at]
         stop = np.cumsum(self.letters)
         place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - self.letters), self.letters)
-        three = clear[place] << U64(16) | clear[place + 1] << U64(8) | clear[place + 2]
+        three = clear[place].astype(U64) << U64(16) | clear[place + 1].astype(U64) << U64(8) | clear[place + 2].astype(U64)
         # and each word's beginning
         start = np.zeros(len(begin), np.uint64)
         for k in range(6):
-            start = start << U64(8) | np.where(self.letters > k, clear[np.minimum(begin + 1 + k, len(data))], U64(0))
+            start = start << U64(8) | np.where(self.letters > k, clear[np.minimum(begin + 1 + k, len(data))], 0).astype(U64)
         char = np.insert(three, stop, start | U64(1 << 60))
         self.char = (mix(char) % U64(CHAR_ROWS)).astype(np.int32)
         self.letters = self.letters + 1
@@ -51,12 +52,14 @@ class Words:
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(window x WINDOW) word numbers, -1 beyond a text's end, and each window's text. Every word is in one."""
         n = np.diff(self.first)
+        first = self.first.astype(np.int32)
         count = np.maximum(-(-(n - (WINDOW - STRIDE)) // STRIDE), 1) * (n > 0)
         text = np.repeat(np.arange(len(n)), count)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = (self.first[:-1][text] + STRIDE * step)[:, None] + np.arange(WINDOW)
-        inside = at < self.first[1:][text][:, None]
-        return np.where(inside, self.word[np.where(inside, at, 0)] if len(self.word) else -1, -1), text
+        at = (first[:-1][text] + STRIDE * step.astype(np.int32))[:, None] + np.arange(WINDOW, dtype=np.int32)
+        inside = at < first[1:][text][:, None]
+        at *= inside
+        return np.where(inside, self.word[at] if len(self.word) else np.int32(-1), np.int32(-1)), text
 
 
 def _parameters(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -162,11 +165,17 @@ def _step(p: dict, words: Words, windows: np.ndarray, target: np.ndarray) -> dic
     return g
 
 
+def _pairs(owner: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, item) pairs; items are below ``n``."""
+    key = np.sort(owner.astype(np.int64) * n + item)
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key // n, key % n
+
+
 def _odds(owner: np.ndarray, item: np.ndarray, n: int, toxic: np.ndarray) -> np.ndarray:
-    """Log odds of each item to occur in a toxic text, by the number of texts that have it."""
-    pairs = np.unique(np.stack([owner, item]), axis=1)
-    bad = np.bincount(pairs[1], weights=toxic[pairs[0]], minlength=n) + 1.0
-    good = np.bincount(pairs[1], weights=1 - toxic[pairs[0]], minlength=n) + 1.0
+    """Log odds of each item to occur in a toxic text, by the number of texts that have it (pairs are distinct)."""
+    bad = np.bincount(item, weights=toxic[owner], minlength=n) + 1.0
+    good = np.bincount(item, weights=1 - toxic[owner], minlength=n) + 1.0
     return np.log(bad / toxic.sum()) - np.log(good / (1 - toxic).sum())
 
 
@@ -175,12 +184,16 @@ def _telling_words(words: Words, toxic: np.ndarray) -> np.ndarray:
 
     The last entry stands for places beyond a text's end.
     """
-    owner = np.repeat(np.arange(len(toxic)), np.diff(words.first))
-    n = words.letters[words.word]
-    stop = np.cumsum(n)
-    at = np.arange(stop[-1]) + np.repeat(words.char_at[words.word] - (stop - n), n)
-    char = _odds(np.repeat(owner, n), words.char[at], CHAR_ROWS, toxic)
-    own = _odds(owner, words.word, len(words.row), toxic)
+    owner, word = _pairs(np.repeat(np.arange(len(toxic)), np.diff(words.first)), words.word, len(words.row))
+    own = _odds(owner, word, len(words.row), toxic)
+    found = []
+    cuts = np.searchsorted(owner, np.arange(0, len(toxic) + 300, 300))
+    for a, b in zip(cuts, cuts[1:]):  # some texts at a time
+        n = words.letters[word[a:b]]
+        stop = np.cumsum(n)
+        at = np.repeat(words.char_at[word[a:b]] - (stop - n), n) + np.arange(n.sum())
+        found.append(_pairs(np.repeat(owner[a:b], n), words.char[at], CHAR_ROWS))
+    char = _odds(*(np.concatenate(x) for x in zip(*found)), CHAR_ROWS, toxic)
     return np.append(np.maximum(1.5 * own, own / 2 + np.maximum.reduceat(char[words.char], words.char_at)), -99)
 
 
