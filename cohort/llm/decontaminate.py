@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,29 @@ def align(query: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _windows(starts: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
+def _hits(length: int, threshold: float) -> int:
+    """So many neighbours (see ``pairs``) every alignment that reaches the threshold has in common, at distinct places.
+
+    With m matches and e errors, 2 m - e >= 2 * threshold * length and m <= length. Of the m - 1 steps from a
+    match to the next at most e / 2 hold two errors or more.
+    """
+    return math.ceil(threshold * length - 1e-9) - 1
+
+
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pairs of neighbours and of all pairs with one word between, with the place of the first.
+
+    Two matches with at most one error between them are such a pair both in the item and in the document.
+    """
+    if len(words) < 3:
+        return grams(words, 2), np.arange(max(len(words) - 1, 0))
+    outer = np.stack([words[:-2], words[2:]], 1).ravel()
+    keys = np.concatenate([grams(words, 2), grams(outer, 2)[::2]])
+    return keys, np.concatenate([np.arange(len(words) - 1), np.arange(len(words) - 2)])
+
+
+def _windows(starts: np.ndarray, length: int, size: int, slack: int) -> list[tuple[int, int]]:
     """Stretches of the document around seeds. ``starts``: where each seed would have the item begin."""
-    slack = length // 2 + SEED
     lo = np.maximum(np.sort(starts) - slack, 0)
     out: list[list[int]] = []
     for a in lo.tolist():
@@ -56,10 +77,18 @@ def _windows(starts: np.ndarray, length: int, size: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def best_match(item: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[float, int, int]:
-    """Greatest share of the item's own score that a stretch reaches; first and last (exclusive) word of it."""
+def best_match(item: np.ndarray, words: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[float, int, int]:
+    """Greatest share of the item's own score that a stretch reaches; first and last (exclusive) word of it.
+
+    A stretch with too few pairs of the item for the threshold is not aligned.
+    """
     best = (0.0, 0, 0)
-    for a, b in _windows(starts, len(item), len(words)):
+    keys, places = pairs(item)
+    # no alignment that reaches the threshold has more errors than this
+    slack = max(math.ceil(2 * len(item) * (1 - threshold)), SEED)
+    for a, b in _windows(starts, len(item), len(words), slack):
+        if len(distinct(places[np.isin(keys, pairs(words[a:b])[0])])) < _hits(len(item), threshold):
+            continue
         score, end = align(item, words[a:b])
         share = score / (MATCH * len(item))
         if share > best[0]:
@@ -69,90 +98,111 @@ def best_match(item: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple
 
 
 class Items:
-    """The seeds of some benchmark items: sorted n-grams with the items and places that have them."""
+    """The pairs of some benchmark items: sorted distinct numbers, and for each pair which it is, its item and place."""
 
-    def __init__(self, texts: dict[int, str], n: int = SEED) -> None:
+    def __init__(self, texts: dict[int, str]) -> None:
         self.words = {k: w for k, t in texts.items() if len(w := _words(t))}
-        self.n, rows = n, []
-        for k, w in self.words.items():
-            # a shorter item is one gram of its own length
-            rows += [(int(g), k, p, min(n, len(w))) for p, g in enumerate(grams(w, min(n, len(w))))]
-        self.rows = sorted(rows)
-        self.grams = distinct(np.array([r[0] for r in self.rows], U64))
-        self.sizes = sorted({r[3] for r in self.rows})
+        self.ids = list(self.words)
+        # a single word is its own seed
+        found = [pairs(w) if len(w) > 1 else (grams(w, 1), np.zeros(1, np.int64)) for w in self.words.values()]
+        keys = np.concatenate([np.empty(0, U64), *(k for k, _ in found)])
+        self.places = np.concatenate([np.empty(0, np.int64), *(p for _, p in found)])
+        self.items = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+        self.keys = distinct(keys)
+        self.which = np.searchsorted(self.keys, keys)
+        self.single = any(len(w) == 1 for w in self.words.values())
 
 
 class Lookup:
-    """Finds the grams of a document that are among the wanted ones."""
+    """Finds the pairs of a document that are among the wanted ones."""
 
-    def __init__(self, wanted: np.ndarray, sizes: list[int]) -> None:
-        self.wanted, self.sizes = wanted, sizes
-        self.flag = np.zeros(1 << 20, bool)  # by the first 20 bits: rules nearly all grams out
+    def __init__(self, wanted: np.ndarray, single: bool) -> None:
+        self.wanted, self.single = wanted, single
+        self.flag = np.zeros(1 << 20, bool)  # by the first 20 bits: rules nearly all pairs out
         self.flag[(wanted >> U64(44)).astype(np.int64)] = True
 
     def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the document, and which of the wanted grams stands there."""
-        found = []
-        for size in self.sizes:
-            g = grams(words, size)
-            at = np.flatnonzero(self.flag[(g >> U64(44)).view(np.int64)])
-            which = np.minimum(np.searchsorted(self.wanted, g[at]), len(self.wanted) - 1)
-            same = self.wanted[which] == g[at]
-            found.append((at[same], which[same]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        """Places in the document, and which of the wanted pairs stands there."""
+        keys, places = pairs(words)
+        if self.single:
+            keys, places = np.concatenate([keys, grams(words, 1)]), np.concatenate([places, np.arange(len(words))])
+        at = np.flatnonzero(self.flag[(keys >> U64(44)).view(np.int64)])
+        if not len(at):
+            return at, at
+        which = np.minimum(np.searchsorted(self.wanted, keys[at]), len(self.wanted) - 1)
+        same = self.wanted[which] == keys[at]
+        return places[at[same]], which[same]
 
 
-def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each gram of the items occurs, over all documents."""
+def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
+    """In how many documents each pair of the items occurs, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, total = Lookup(items.grams, items.sizes), np.zeros(len(items.grams), np.int64)
+        look, total = Lookup(keys, single), np.zeros(len(keys), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total[distinct(look(_words(text))[1])] += 1
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n"))
-    found = dict(counted.collect())  # a number for each gram of the block of items
-    return {int(g): found.get(i, 0) for i, g in enumerate(items.grams)}
-
-
-def rare_seeds(items: Items, frequency: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """The rarer half of each item's grams, so an item that a third of all documents quote keeps its seeds."""
-    by_item: dict[int, list] = {}
-    for row in items.rows:
-        by_item.setdefault(row[1], []).append(row)
-    out = []
-    for rows in by_item.values():
-        ranked = sorted(frequency[r[0]] for r in rows)
-        limit = ranked[len(ranked) // 2]
-        out += [r for r in rows if frequency[r[0]] <= limit]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["pair", "n"])
+
+    keys, single = items.keys, items.single
+    counted = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n"))
+    out = np.zeros(len(keys), np.int64)
+    for pair, n in counted.collect():  # a number for each pair of the block of items
+        out[pair] = n
     return out
 
 
+def rare_seeds(items: Items, frequency: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """True for the pairs (as ``items.which``) that are looked up: those at the rarest places of each item.
+
+    Every alignment that reaches the threshold has pairs at ``_hits`` of the places, so it has one at any
+    selection that leaves out fewer places than that: none is lost, however many words were replaced. A place
+    whose pairs no document has is among the rarest, and the others of the selection are there for it. If the
+    threshold allows no selection, all places are taken.
+    """
+    out = np.zeros(len(items.which), bool)
+    edges = np.searchsorted(items.items, np.arange(len(items.ids) + 1))
+    for k, w in enumerate(items.words.values()):
+        mine = slice(edges[k], edges[k + 1])
+        n = np.bincount(items.places[mine], frequency[items.which[mine]])
+        rare = np.argsort(n, kind="stable")[: len(n) - max(_hits(len(w), threshold), 1) + 1]
+        out[mine] = np.isin(items.places[mine], rare)
+    return out & (frequency[items.which] > 0)
+
+
 class Matcher:
     """Aligns a document with the items of a block around its rare seeds."""
 
-    def __init__(self, items: Items, frequency: dict[int, int], threshold: float) -> None:
-        where: dict[int, list] = {}
-        for g, item, place, _ in rare_seeds(items, frequency):
-            where.setdefault(g, []).append((item, place))
-        self.wanted, self.sizes, self.words = np.array(sorted(where), U64), items.sizes, items.words
-        self.postings = [where[int(g)] for g in self.wanted]
+    def __init__(self, items: Items, frequency: np.ndarray, threshold: float) -> None:
+        seeds = np.flatnonzero(rare_seeds(items, frequency, threshold))
+        seeds = seeds[np.argsort(items.which[seeds], kind="stable")]
+        self.items, self.places = items.items[seeds], items.places[seeds]
+        some = distinct(items.which[seeds])
+        self.wanted, self.edges = items.keys[some], np.searchsorted(items.which[seeds], np.append(some, len(items.keys)))
+        self.ids, self.words, self.single = items.ids, list(items.words.values()), items.single
         self.threshold, self.look = threshold, None
 
     def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) of each match."""
-        self.look = self.look or Lookup(self.wanted, self.sizes)
-        words, starts, found = _words(text), {}, []
-        for place, seed in zip(*(v.tolist() for v in self.look(words))):
-            for item, q in self.postings[seed]:
-                starts.setdefault(item, []).append(place - q)
-        for item, begin in starts.items():
-            score, first, end = best_match(self.words[item], words, distinct(np.array(begin)))
-            if score >= self.threshold:
-                found.append((item, score, first, end))
+        self.look = self.look or Lookup(self.wanted, self.single)
+        words, found = _words(text), []
+        place, seed = self.look(words)
+        if not len(place):
+            return found
+        # every item that has the seed
+        n = self.edges[seed + 1] - self.edges[seed]
+        at = np.repeat(self.edges[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, begin = self.items[at], np.repeat(place, n) - self.places[at]
+        order = np.argsort(item, kind="stable")
+        item, begin = item[order], begin[order]
+        cuts = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        for k, starts in zip(item[cuts].tolist(), np.split(begin, cuts[1:])):
+            # an item of fewer than three words must occur as it is
+            least = self.threshold if len(self.words[k]) > 2 else 1.0
+            score, first, end = best_match(self.words[k], words, distinct(starts), least)
+            if score >= least:
+                found.append((self.ids[k], score, first, end))
         return found
 
 
@@ -164,7 +214,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     for block in range(blocks):
         mine = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text")
         items = Items({r[0]: r[1] for r in mine.toLocalIterator()})
-        if items.rows:
+        if items.ids:
             yield Matcher(items, _frequencies(docs, items), threshold)
 
 
@@ -172,8 +222,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """Documents that hold a benchmark item or a paraphrased or edited copy of it.
 
     Returns a row per pair: doc_id, item_id, score (share of the item's own alignment score, up to 1),
-    first_word and end_word (the aligned words of the document, end exclusive). A document's grams are looked
-    up among the rare grams of all items; around its seeds the whole item is aligned. Only seeds travel: the
+    first_word and end_word (the aligned words of the document, end exclusive). A document's pairs of
+    words are looked up among the rare ones of all items; around its seeds the whole item is aligned. Only seeds travel: the
     items go to the tasks in blocks of bounded size, and no document is shuffled.
 
     Items without words fit nothing; an item of fewer than three words must occur whole and in order. Null

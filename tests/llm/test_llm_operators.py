@@ -415,6 +415,52 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert decontaminate.clean(docs, bench).collect() == []
 
 
+def _edited(item, every, how):
+    """Copies with a word replaced, dropped or put in at every so many words."""
+    if how == "in":
+        return [w for k, word in enumerate(item) for w in ([word, f"in{k}"] if k % every == 0 else [word])]
+    return [w for k, word in enumerate(item) for w in ([word] if k % every != 1 else [] if how == "out" else [f"new{k}"])]
+
+
+def test_heavily_edited_copies_without_other_copies(spark):
+    random.seed(31)
+    items, docs = [], []
+    for size in (20, 36, 59):
+        for every, how in [(3, "new"), (4, "new"), (5, "new"), (3, "out"), (1, "in"), (2, "in")]:
+            i = len(items)
+            item = [f"w{i}x{k}" for k in range(size)]
+            text = _edited(item, every, how)
+            assert reference_alignment(item, text) >= size  # half of the item's own score
+            items.append((i, " ".join(item)))
+            docs.append((i, " ".join(["before"] * 9 + text + ["after"] * 9)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, bench).collect()} == {(i, i) for i, _ in items}
+    assert decontaminate.clean(frame, bench).collect() == []
+    # many copies of one edited leak beside exact copies
+    many = [(i, docs[7][1]) for i in range(40)] + [(i, items[7][1]) for i in range(40, 43)]
+    frame = spark.createDataFrame(many, "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(frame, bench).collect()} == set(range(43))
+
+
+def test_no_alignment_is_lost_by_seeds(spark):
+    random.seed(32)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = {i: [random.choice(vocabulary) for _ in range(random.randint(16, 40))] for i in range(12)}
+    docs = {}
+    for d in range(150):
+        text = list(items[d % 12])
+        for _ in range(random.randint(0, len(text))):
+            k = random.randrange(len(text))
+            text[k : k + random.randint(0, 1)] = [random.choice(vocabulary)] * random.randint(0, 1)
+            text = text or ["v0"]
+        docs[d] = [random.choice(vocabulary) for _ in range(10)] + text + [random.choice(vocabulary) for _ in range(10)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    want = {(d, i): s for d, t in docs.items() for i, w in items.items() if (s := reference_alignment(w, t) / (2 * len(w))) >= 0.5}
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(frame, bench).collect()} == want
+
+
 # ---- 6 sharding
 
 
