@@ -14,6 +14,8 @@ from cohort.llm.textops import ALPHANUMERIC, U64, distinct, grams, hash_spans, w
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: So many words of an item, or all if it has fewer, must be matched besides the share: one phrase is no copy.
+MATCHED = 8
 #: Bytes of benchmark text that are matched in one pass over the documents; more items mean more passes.
 BLOCK_BYTES = 4_000_000
 
@@ -43,6 +45,28 @@ def align(query: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_words(query: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int]:
+    """As ``align``, over the alignments with at least so many matches; 0 if there is none.
+
+    Row k of the table holds the alignments with k matches so far, the last row those with ``least`` or more.
+    """
+    slope = -GAP * np.arange(len(text) + 1)
+    rows, best, end = np.full((least + 1, len(text) + 1), -(1 << 40)), 0, 0
+    rows[0] = 0
+    for word in query:
+        step = rows + GAP
+        np.maximum(step[:, 1:], rows[:, :-1] + MISMATCH, out=step[:, 1:])
+        more = np.vstack([np.full((1, len(text)), -(1 << 40)), rows[:-1, :-1]])
+        more[-1] = np.maximum(more[-1], rows[-1, :-1])
+        np.maximum(step[:, 1:], more + MATCH, out=step[:, 1:], where=text == word)
+        np.maximum(step[0], 0, out=step[0])
+        rows = np.maximum.accumulate(step + slope, axis=1) - slope
+        top = int(rows[-1].argmax())
+        if rows[-1, top] > best:
+            best, end = int(rows[-1, top]), top
+    return best, end
+
+
 def _hits(length: int, threshold: float) -> int:
     """So many neighbours (see ``pairs``) every alignment that reaches the threshold has in common, at distinct places.
 
@@ -80,19 +104,22 @@ def _windows(starts: np.ndarray, length: int, size: int, slack: int) -> list[tup
 def best_match(item: np.ndarray, words: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[float, int, int]:
     """Greatest share of the item's own score that a stretch reaches; first and last (exclusive) word of it.
 
-    A stretch with too few pairs of the item for the threshold is not aligned.
+    A stretch with too few pairs of the item for the threshold is not aligned. Where the threshold can be reached
+    with fewer than ``MATCHED`` words, only alignments with so many (or all) words of the item count.
     """
-    best = (0.0, 0, 0)
+    best, best_of = (0.0, 0, 0), align
+    if math.ceil(len(item) * threshold - 1e-9) < (least := min(len(item), MATCHED)):
+        best_of = lambda query, text: align_words(query, text, least)
     keys, places = pairs(item)
     # no alignment that reaches the threshold has more errors than this
     slack = max(math.ceil(2 * len(item) * (1 - threshold)), SEED)
     for a, b in _windows(starts, len(item), len(words), slack):
         if len(distinct(places[np.isin(keys, pairs(words[a:b])[0])])) < _hits(len(item), threshold):
             continue
-        score, end = align(item, words[a:b])
+        score, end = best_of(item, words[a:b])
         share = score / (MATCH * len(item))
         if share > best[0]:
-            _, back = align(item[::-1], words[a : a + end][::-1])
+            _, back = best_of(item[::-1], words[a : a + end][::-1])
             best = (share, a + end - back, a + end)
     return best
 
@@ -226,6 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     words are looked up among the rare ones of all items; around its seeds the whole item is aligned. Only seeds travel: the
     items go to the tasks in blocks of bounded size, and no document is shuffled.
 
+    Besides the share, at least ``MATCHED`` words of an item must be matched, or all words of a shorter one.
     Items without words fit nothing; an item of fewer than three words must occur whole and in order. Null
     and empty texts match nothing. Repeated documents give repeated rows; repeated item texts a row for each
     item id. Empty tables give no rows; other columns are left out.

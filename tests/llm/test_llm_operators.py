@@ -461,6 +461,26 @@ def test_no_alignment_is_lost_by_seeds(spark):
     assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(frame, bench).collect()} == want
 
 
+def test_one_phrase_is_no_copy_of_a_short_item(spark):
+    items = {1: "what is the capital of france", 2: "name the capital of peru", 3: "define entropy", 4: "who wrote the long novel about the white whale in those days"}
+    clean = {1: "he said that the capital of the firm is small", 2: "what is the capital of spain", 3: "please define the entropy", 4: "a dog about the white whale in a book"}
+    leaked = {11: "q: What is the capital of France?", 12: "name, if you can, the capital of Peru", 13: "now define entropy!", 14: "and who wrote the long book about the white whale in my day"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    frame = spark.createDataFrame([*clean.items(), *leaked.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, bench).collect()} == {(10 + i, i) for i in items}
+    assert {r.doc_id for r in decontaminate.clean(frame, bench).collect()} == set(clean)
+
+
+def test_alignments_of_so_many_words():
+    random.seed(33)
+    for _ in range(200):
+        q, t = (np.array([random.randrange(5) for _ in range(random.randint(1, 9))]) for _ in range(2))
+        assert decontaminate.align_words(q, t, 0)[0] == decontaminate.align(q, t)[0]
+        scores = [decontaminate.align_words(q, t, k)[0] for k in range(10)]
+        assert scores == sorted(scores, reverse=True) and not any(scores[len(q) + 1 :])
+    assert decontaminate.align_words(np.array([1, 2, 3, 4]), np.array([1, 2, 3, 9, 9, 9, 9, 4]), 4) == (4, 8)
+
+
 # ---- 6 sharding
 
 
