@@ -19,14 +19,17 @@ BLOCK = set(
 )
 #: Elements that never belong to the article.
 ASIDE = set("nav footer aside form button menu dialog".split())
-#: Names of classes, ids and roles of parts that don't belong to the article.
-ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|side|aside|ads?|advert|advertisement|advertising|"
-    r"banner|sponsor|sponsored|promo|promotion|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|comment-list|"
-    r"replies|reply|discussion|disqus|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|login|signup|"
-    r"search|copyright|skip-link|hidden)(?:$|[\s_-])",
-    re.I,
+#: Names of classes, ids and roles of parts that don't belong to the article: a name counts as a whole, or if all
+#: words between its hyphens are such names.
+ASIDE_NAMES = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar side aside ad ads advert advertisement advertising "
+    "banner sponsor sponsored promo promotion cookie cookies consent notice popup modal newsletter subscribe comment comments "
+    "comment-list replies reply discussion disqus related recommended share sharing social widget toolbar pagination pager login "
+    "signup search copyright skip-link hidden".split()
 )
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose id can name a part of the layout; elsewhere it is the address of a heading, a section or a place.
+LAYOUT = set("div ul ol dl table tbody tr td center header".split())
 #: What an opening tag closes first, and the elements that hold this back.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -43,19 +46,33 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "aside", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "aside", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
 
     def __init__(self, tag: str, parent: "Node | None", aside: bool = False) -> None:
         self.tag, self.parent, self.aside = tag, parent, aside
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.most = False  # holds more than half of the page's unlinked text
+
+
+def _aside_named(tag: str, extra: str) -> bool:
+    """Whether a class, id or role in the attributes is that of a part beside the article."""
+    if tag in HEADING:
+        return False
+    for kind, *values in NAMED.findall(extra):
+        if kind.lower() != "id" or tag in LAYOUT:
+            for name in "".join(values).lower().replace("_", "-").split():
+                if name in ASIDE_NAMES or all(w in ASIDE_NAMES for w in name.split("-")):
+                    return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -63,7 +80,6 @@ def parse(page: str) -> Node:
     root = node = Node("html", None)
     depth = {}
     at = 0
-    lowered = None
 
     def close(target: Node) -> Node:
         walk = node
@@ -115,16 +131,14 @@ def parse(page: str) -> Node:
                 walk = walk.parent
             if last is not None:
                 node = close(last)
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(extra)) if extra else ""
-        aside = tag in ASIDE or bool(names and ASIDE_NAME.search(names)) or bool(extra and HIDDEN.search(extra))
+        aside = tag in ASIDE or bool(extra) and (_aside_named(tag, extra) or bool(HIDDEN.search(extra)))
         child = Node(tag, node, aside)
         node.parts.append(child)
         if tag in VOID or extra.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW and tag not in ("head", "noscript"):  # its content is not markup
-            lowered = lowered or page.lower()
-            end = lowered.find(f"</{tag}", at)
-            close_at = page.find(">", end) + 1 if end >= 0 else 0
+            end = CLOSING[tag].search(page, at)
+            close_at = page.find(">", end.start()) + 1 if end else 0
             at = close_at or len(page)
             continue
         node = child
@@ -139,6 +153,25 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _find_most(root: Node, nodes: list[Node]) -> None:
+    """Mark the elements with more than half of the unlinked text, unless an article or main elsewhere has text."""
+    named, apart = dict.fromkeys(map(id, nodes), 0), {id(root.parent): False}
+    for n in nodes:  # parents first
+        n.most = 2 * (n.chars - n.link_chars) > root.chars - root.link_chars
+        apart[id(n)] = apart[id(n.parent)] or n.tag in RAW or n.aside and not n.most
+        own = n.tag in ("article", "main") and n.chars > n.link_chars and not apart[id(n)]
+        named[id(n)] = int(own)
+    inside = dict(named)
+    for n in reversed(nodes):
+        if n.parent is not None:
+            inside[id(n.parent)] += inside[id(n)]
+    around = {id(root.parent): 0}
+    for n in nodes:
+        around[id(n)] = around[id(n.parent)] + named[id(n)]
+        # what is left lies neither in it nor around it
+        n.most = n.most and inside[id(root)] == inside[id(n)] + around[id(n.parent)]
+
+
 def measure(root: Node) -> list[Node]:
     """Composite text density of every node and the sum over its children; returns the nodes, parents first."""
     nodes = _in_order(root)
@@ -154,6 +187,7 @@ def measure(root: Node) -> list[Node]:
                 node.link_tags += p.link_tags + (p.tag == "a")
         if link:
             node.link_chars, node.link_tags = node.chars, node.tags
+    _find_most(root, nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     ratio = body.link_chars / max(body.chars, 1)
     for node in nodes:
@@ -172,13 +206,15 @@ def main_node(root: Node) -> Node:
 
     The node with the greatest density sum is found first. The threshold is the least density on its path to
     the body. Of the nodes outside menus and the like that reach the threshold, the one with the greatest
-    density sum is the article; it is widened to an enclosing ``article`` or ``main`` element.
+    density sum is the article; it is widened to an enclosing ``article`` or ``main`` element. An element that holds
+    more than half of the page's unlinked text is not taken for a menu or the like, unless another ``article`` or
+    ``main`` element, neither in it nor around it, has text.
     """
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     apart: set[int] = set()
     for n in nodes:  # parents first
-        if n.aside or n.tag in RAW or n.parent is not None and id(n.parent) in apart:
+        if n.aside and not n.most or n.tag in RAW or n.parent is not None and id(n.parent) in apart:
             apart.add(id(n))
     inside = [n for n in nodes if id(n) not in apart and n.tag != "html"] or [body]
     top = max(inside, key=lambda n: n.total)
@@ -208,7 +244,7 @@ def text_of(node: Node) -> str:
             out.append(item)
         elif item is None:
             out.append(" ")
-        elif item is node or not (item.aside or item.tag in RAW or item.tag == "header" and item.parent.tag == "body"):
+        elif item is node or item.tag not in RAW and (item.most or not (item.aside or item.tag == "header" and item.parent.tag == "body")):
             edge = item.tag in BLOCK or item.tag == "br"
             stack += [None] * edge + item.parts[::-1] + [None] * edge
     return SPACE.sub(" ", entities.unescape("".join(out))).strip()

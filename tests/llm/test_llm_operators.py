@@ -703,6 +703,29 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+PROSE = " ".join(re.findall("<p>(.*?)</p>", ARTICLE))
+LINKS = "<div class='nav'><a href=/a>Home</a> <a href=/b>More</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        *((f"<body>{LINKS}<div class='{names}'>{ARTICLE}</div><div class='sidebar'>s</div>", PROSE) for names in ("main-content no-sidebar", "page has-sidebar", "layout-header-fixed", "sidebar", "post hidden")),
+        *((f"<body>{LINKS}<{tag} class=comments role=search>{ARTICLE}</{tag}><footer>f</footer>", PROSE) for tag in ("form", "article", "main")),
+        (f"<body><form action=/>{LINKS}<div>{ARTICLE}</div><div class=cookie-notice>c</div></form>", PROSE),
+        (f"<article><div class='post-header'><h1>Title</h1></div>{ARTICLE}<div class='ad'>buy</div></article>", "Title " + PROSE),
+        *((f"<article>{ARTICLE}<h2 id='{slug}'>Head</h2><section id='{slug}'><p>Part.</p></section></article>", PROSE + " Head Part.") for slug in ("side-effects", "discussion", "search", "notice-of-changes")),
+        (f"<article>{ARTICLE}<h2><span id=Search>Search</span></h2></article>", PROSE + " Search"),
+        (f"<article><p>{chr(0x130) * 40}</p><script>a</script>{ARTICLE}<SCRIPT>b</ScRiPt ><p>End.</p></article>", chr(0x130) * 40 + " " + PROSE + " End."),
+        (f"<body><article><p>Short text.</p></article><footer>{PROSE}</footer>", "Short text."),
+        (f"<body><aside><article>A.</article></aside><form><main><p>Intro.</p><form>{ARTICLE}</form></main></form>", "Intro. " + PROSE),
+        (f"<article>{ARTICLE}<script>'</scripts>'; '</ſcript>'</script></article>", PROSE),
+    ],
+)
+def test_names_do_not_take_the_article_away(page, want):
+    assert html.main_text(page) == want
+
+
 def test_density_prefers_prose_over_links():
     root = html.parse("<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div>" + ARTICLE + "</div></body>")
     best = html.main_node(root)
