@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +29,13 @@ ROUNDS = 3
 DIGITS = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
 EDGE = "\"'`.,;:!?()[]{}<>|"
+#: An at sign in words and the domain after it, which may spell its dots out.
+AT_WORD = re.compile(r" ?(?:\(at\)|\[at\]) ?", re.I | re.A)
+SPELLED = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)++", re.I | re.A)
+#: A token of a number with blanks in it, and what may stand before its first one.
+PIECE = re.compile(r"[0-9().\[\]/+-]+")
+LEAD = re.compile(r"[\"'`,;:!?{}<>|]*+(?:[A-Za-z_-]++[=:])?")
+TAIL = "\"'`,;:!?{}<>|."
 KEYED = re.compile(r"([A-Za-z_-]+[=:])(.+)", re.S)
 
 
@@ -86,7 +95,7 @@ def looks_like(value: str) -> list[int]:
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
     out = []
-    if letters and re.search(r"@|\(at\)|\[at\]", value):
+    if letters and ("@" in value or AT_WORD.search(value)):
         out.append(0)
     if digits >= 4 and (value.count(".") == 3 or value.count(":") >= 4) and not re.search(r"[g-zG-Z]", value):
         out.append(1)
@@ -104,13 +113,84 @@ def _contexts(left: list[str], right: str, key: str) -> list[str]:
     return list(dict.fromkeys([f"{key}*"] if key else [p for p in out if p.strip("* ")]))
 
 
+def _unbracketed(text: str, begin: int, end: int) -> tuple[int, int]:
+    """A span without brackets around the whole and without those that have no partner."""
+    while begin < end:
+        part = text[begin:end]
+        if part[0] in "([" and part.find(")" if part[0] == "(" else "]") in (-1, len(part) - 1):
+            begin += 1
+        elif part[-1] in ")]" and part.count(part[-1]) > part.count("(" if part[-1] == ")" else "["):
+            end -= 1
+        elif part[-1] in " \t\xa0-/.+([":
+            end -= 1
+        else:
+            break
+    return begin, end
+
+
+def split_spans(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifiers over several tokens: numbers with blanks on one line, and addresses with (at) or [at]."""
+    out, free = [], 0
+    for m in AT_WORD.finditer(text):
+        begin = m.start()
+        while begin > free and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin < m.start() and (domain := SPELLED.match(text, m.end())):
+            out.append((begin, domain.end()))
+            free = domain.end()
+    i = 0
+    while i < len(tokens):
+        begin = LEAD.match(text, *tokens[i]).end()
+        end, j, start = begin, i, begin
+        while j < len(tokens):
+            token = text[start : tokens[j][1]]
+            body = token.rstrip(TAIL)
+            if not PIECE.fullmatch(body) or j == i and not DIGITS.search(body):
+                break
+            end, j = start + len(body), j + 1
+            if body != token or j == len(tokens) or text[tokens[j - 1][1] : tokens[j][0]].strip(" \t\xa0"):
+                break
+            start = tokens[j][0]
+        if j > i + 1:
+            a, b = _unbracketed(text, begin, end)
+            if looks_like(text[a:b]):
+                out.append((a, b))
+        i = max(j, i + 1)
+    return out
+
+
 def mentions(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(kind or -1, start, end, instance, patterns) of base entities and of other tokens shaped like identifiers."""
-    if not text or not spans and not DIGITS.search(text) and "@" not in text:
+    """(kind or -1, start, end, instance, patterns) of base entities and of what else is shaped like an identifier.
+
+    That are single tokens, and runs of tokens that together have the shape; the context of a run is outside it.
+    """
+    if not text or not spans and not DIGITS.search(text) and "@" not in text and not AT_WORD.search(text):
         return []
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     word = lambda i: text[slice(*tokens[i])].strip(EDGE).lower()[:64] if 0 <= i < len(tokens) else ""
     out, taken, ends = [], sorted((a, b, k) for k, a, b in spans), 0
+    # no base entity lies in or reaches into a run: the one that begins last before its end is the nearest
+    reach = list(accumulate((b for _, b, _ in taken), max))
+    begins = [a for a, _, _ in taken]
+    for a, b in split_spans(text, tokens):
+        before = bisect_left(begins, b)
+        if not before or reach[before - 1] <= a:
+            taken.append((a, b, -1))
+    taken.sort()
+
+    def single(i: int) -> None:
+        a, b = tokens[i]
+        token = text[a:b]
+        if DIGITS.search(token) or "@" in token or AT_WORD.search(token):
+            lead = len(token) - len(token.lstrip(EDGE))
+            value, key = token.strip(EDGE), ""
+            if m := KEYED.fullmatch(value):
+                key, rest = m[1].lower(), m[2].lstrip(EDGE)
+                lead, value = lead + len(value) - len(rest), rest
+            if value and looks_like(value):
+                patterns = _contexts([word(i - 2), word(i - 1)], word(i + 1), key)
+                out.append((-1, a + lead, a + lead + len(value), value, patterns))
+
     at, i = 0, 0
     while i < len(tokens):
         a, b = tokens[i]
@@ -126,24 +206,17 @@ def mentions(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple[
                 begin, ends, kind = taken[at]
                 out.append((kind, begin, ends, text[begin:ends], patterns))
                 at += 1
+            # the further tokens of a run can be identifiers of their own
+            run = kind < 0 and last > i
+            for i in range(i + 1, last + 1) if run else ():
+                single(i)
             i = last + 1
             continue
-        token = text[a:b]
-        if DIGITS.search(token) or "@" in token:
-            lead = len(token) - len(token.lstrip(EDGE))
-            value, key = token.strip(EDGE), ""
-            if m := KEYED.fullmatch(value):
-                key, rest = m[1].lower(), m[2].lstrip(EDGE)
-                lead, value = lead + len(value) - len(rest), rest
-            if value and looks_like(value):
-                patterns = _contexts([word(i - 2), word(i - 1)], word(i + 1), key)
-                out.append((-1, a + lead, a + lead + len(value), value, patterns))
+        single(i)
         i += 1
     return out
 
 
-
-
 def _mentions(docs: DataFrame) -> DataFrame:
     """A row per mention and text: key, kind, start, end, instance, shapes, patterns."""
 
@@ -207,7 +280,7 @@ def trusted_patterns(
 
 def added_spans(docs: DataFrame, **options) -> DataFrame:
     """(key, added) for texts in which trusted patterns find identifiers that the base patterns don't; key: md5."""
-    usable = docs.filter(F.col("text").rlike(r"[0-9@]")).select("text")
+    usable = docs.filter(F.col("text").rlike(r"(?i)[0-9@]|\(at\)|\[at\]")).select("text")
     # a copy says nothing new about a pattern
     found = checkpoint(_mentions(usable).dropDuplicates(["key", "start", "end", "kind"]))
     good = trusted_patterns(found, **options)
@@ -221,6 +294,8 @@ def added_spans(docs: DataFrame, **options) -> DataFrame:
         .agg(F.max(F.struct("score", "kind")).alias("best"))
         .groupBy("key")
         .agg(F.collect_set(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
+        # a token inside a run that is an identifier says nothing more
+        .withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))))
     )
 
 

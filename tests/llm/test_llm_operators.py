@@ -638,6 +638,29 @@ def test_bootstrapping_finds_unseen_identifiers(spark, odd, empty):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD)
 
 
+def test_bootstrapping_finds_identifiers_over_several_tokens(spark):
+    rows = [(i, f"office phone: +1 (555) 010-{1000 + i} today; mail to user{i}@mail.example.com soon") for i in range(20)]
+    bad = "4111 1111 1111 1112"
+    assert not pii.luhn(bad.replace(" ", ""))
+    cards = [n for n in range(4000000000000000, 4000000000000400) if pii.luhn(str(n))][:20]
+    rows += [(100 + i, f"paid by card {str(n)[:4]} {str(n)[4:8]} {str(n)[8:12]} {str(n)[12:]} yesterday") for i, n in enumerate(cards)]
+    split = {
+        50: ("office phone: ", "(030) 555 0199", " today", "phone"),
+        51: ("office phone: ", "(017) 555-7713", ", thanks", "phone"),
+        52: ("the mail to ", "jane (at) example.com", " soon", "email"),
+        53: ("the mail to ", "joe[AT]example [dot] org", " soon", "email"),
+        54: ("paid by card ", bad, " yesterday", "card"),
+    }
+    rows += [(k, a + x + b) for k, (a, x, b, _) in split.items()] + [(60, "in 2019 and 2020 2021 2022 we met (at) noon")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(frame).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    for k, (a, x, b, kind) in split.items():
+        assert got[k].spans == f"{kind}:{len(a)}:{len(a) + len(x)}" and got[k].added == 1
+        assert clean[k] == f"{a}[{kind.upper()}]{b}"
+    assert got[60].spans == "" and all(got[i].added == 0 for i in (*range(20), *range(100, 120)))
+
+
 # ---- 9 URL rules
 
 
