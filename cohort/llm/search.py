@@ -10,6 +10,7 @@ before their blocks are decompressed. The shards' best are merged.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohort.llm.textops import ALPHANUMERIC, _LOWER, hash_spans, word_spans
-from cohort.sizing import checkpoint
+from cohort.sizing import checkpoint, shared_folder
 
 #: Postings in a block.
 BLOCK = 128
@@ -26,6 +27,8 @@ BLOCK = 128
 SHARD_BYTES, SPLIT_BYTES = 16_000_000, 1_000_000
 #: Queries that meet a shard at once, about.
 QUERIES = 2_000
+#: Terms of all queries, repeats included, up to which they go to the index instead of the index to them (16 bytes each).
+BROADCAST_TERMS = 500_000
 #: Documents that a search looks at between two updates of its threshold, at first and at most.
 WINDOW, WIDEST = 256, 4096
 
@@ -319,7 +322,9 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, queries: int = QUER
     )
     # each term with the queries of a block that ask for it
     asking = terms.join(weights.filter("w > 0"), "term").withColumn("block", F.pmod("item", F.lit(blocks)))
-    asking = asking.groupBy("block", "term", "w", "bound").agg(F.collect_list(F.struct("item", "times")).alias("asked"))
+    asking = checkpoint(asking.groupBy("block", "term", "w", "bound").agg(F.collect_list(F.struct("item", "times")).alias("asked")))
+    if (asking.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_TERMS:
+        asking = F.broadcast(asking)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     own = index.filter(F.col("term").isNull()).withColumn("block", every)
     wanted = lists.join(asking, "term").unionByName(own.select("shard", "block", "ids", "m"), allowMissingColumns=True)
@@ -331,4 +336,6 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, queries: int = QUER
 
 def rank(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """Index all documents and search them for all items. The index is written to the shared folder."""
-    return search(checkpoint(build(docs)), items, k)
+    path = f"{shared_folder(docs.sparkSession)}/search-index-{uuid.uuid4().hex}"
+    build(docs).write.parquet(path)
+    return search(docs.sparkSession.read.parquet(path), items, k)

@@ -16,11 +16,12 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohort.llm.textops import word_spans
 from cohort.sizing import checkpoint
@@ -146,9 +147,9 @@ def examples(docs: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     found = docs.select("text").mapInArrow(run, "kind string, value string, digest binary, seen long")
     found = checkpoint(found.groupBy("kind", "value", "digest").agg(F.sum("seen").alias("seen")))
     totals = found.filter("value is null").groupBy("kind").agg(F.sum("seen").alias("total"))
-    by = Window.partitionBy("kind").orderBy("digest")
-    first = found.filter("value is not null").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= limit)
-    return first.join(totals, "kind").select("kind", "value", "total")
+    values = found.filter("value is not null")
+    first = [values.filter(F.col("kind") == kind).orderBy("digest").limit(limit) for kind in (*KINDS, OTHER)]
+    return reduce(DataFrame.union, first).join(totals, "kind").select("kind", "value", "total")
 
 
 def shape(c: str) -> str:
