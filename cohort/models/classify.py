@@ -1,7 +1,7 @@
 """Fitting and predicting a categorical label.
 
-Models: ``glm`` logistic regression, ``rforest`` random forest, ``svm`` linear support vector
-machine (two classes), ``nnet`` neural nets averaged over seeds, ``rpart`` decision tree.
+Models: ``glm`` logistic regression, ``rforest`` random forest, ``svm`` support vector machine (linear or
+radial, any number of classes), ``nnet`` neural nets averaged over seeds, ``rpart`` decision tree.
 Text features are dictionary-encoded with null and unseen values as a level of their own; numeric
 features must be present, otherwise a row is left out of the fit and gets no prediction.
 """
@@ -13,7 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -22,34 +22,21 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.recode import as_column
 from ..sizing import small_or_plain
+from .encoding import WEIGHT, category_sizes, compress, encoder as encoder_for, is_text, prepared as prepare
+from .forest import KEY, grow
+from .kernel import FourierFeatures, fit_machines
+from .nets import fit_nets
 
 TREES = {"rforest", "rpart"}
-WEIGHT = "__weight"
 ROWS_PER_TASK = 50_000  # fits make many small passes: fewer, fuller tasks than a shuffle leaves
 
 
-def is_text(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType, T.DateType))
-
-
-def compress(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct combinations of ``cols`` with their count as weight: the same data, far fewer rows."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
-
-
-def _prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features under private names, text as string and numbers as double."""
-    return df.withColumns(
-        {f"__f{i}": F.col(c).cast("string" if is_text(df, c) else "double") for i, c in enumerate(features)}
-    )
-
-
 @dataclass
 class Fitted:
     """A fitted classifier for one label."""
@@ -66,7 +53,7 @@ class Fitted:
         if self.encoder is None:
             only = self.levels[0] if self.levels else None
             return df.withColumn(out, F.lit(only).cast("string"))
-        scored = self.encoder.transform(_prepared(df, self.features))
+        scored = self.encoder.transform(prepare(df, self.features))
         if len(self.members) == 1:
             model = self.members[0]
             scored = model.transform(scored)
@@ -91,35 +78,6 @@ class Fitted:
         return scored.withColumn(out, F.when(present, name)).select(*df.columns, out)
 
 
-def _encoder(prepared: DataFrame, text: list[bool], trees: bool, weight_free: bool) -> Pipeline:
-    stages, inputs = [], []
-    texts = [f"__f{i}" for i, t in enumerate(text) if t]
-    if texts:
-        stages.append(
-            StringIndexer(
-                inputCols=texts,
-                outputCols=[f"{c}i" for c in texts],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            )
-        )
-        if not trees:
-            stages.append(
-                OneHotEncoder(
-                    inputCols=[f"{c}i" for c in texts],
-                    outputCols=[f"{c}v" for c in texts],
-                    dropLast=True,
-                )
-            )
-    for i, t in enumerate(text):
-        inputs.append(f"__f{i}" + (("i" if trees else "v") if t else ""))
-    raw = "__x" if trees or not weight_free else "__xr"
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="keep"))
-    if raw == "__xr":
-        stages.append(MinMaxScaler(inputCol="__xr", outputCol="__x"))
-    return Pipeline(stages=stages)
-
-
 def fit(
     train: DataFrame,
     label: str,
@@ -128,17 +86,21 @@ def fit(
     seed: int = 1,
     compressed: bool = False,
     weight: str | None = None,
+    id_col: str | None = None,
     **params,
 ) -> Fitted:
     """Fit one model.
 
     ``compressed`` first reduces the training rows to weighted distinct combinations, which suits a
     few categorical features: the fit then costs the same however many rows there are. ``weight``
-    names a column that already holds such counts. Nets and forests are fitted on single rows: nets take no
-    weights, and each tree of a forest draws its own rows. ``mtry`` is the root of the number of features
-    unless given.
-    Parameters: ``ntree, mtry, depth, bootstrap`` (forest, tree), ``cost, tol, max_iter`` (svm),
-    ``repeats, size, max_iter`` (nnet).
+    names a column that already holds such counts. Nets without ``decay`` take no weights. A forest on single rows
+    draws them by their place; with ``id_col``, or on counts, each tree draws by digest (see ``forest``), and only
+    such forests tell out-of-bag votes. ``mtry`` is the root of the number of features unless given.
+    Two classes are separated linearly by MLlib's machine, with a radial kernel or more classes by the squared hinge
+    loss, all pairs together (see ``kernel``).
+    Parameters: ``ntree, mtry, depth, bootstrap`` (forest, tree), ``cost, tol, max_iter, kernel`` (svm), with
+    ``kernel="radial"`` also ``gamma`` (1 / number of columns unless given) and ``cosines``, the number of random
+    features; ``repeats, size, max_iter, decay`` (nnet), a ``decay`` of 0 or more fitting all nets together.
     """
     features = list(features)
     rows = train.filter(F.col(label).isNotNull())
@@ -146,17 +108,18 @@ def fit(
     for c, textual in zip(features, text):
         if not textual:
             rows = rows.filter(F.col(c).isNotNull())
-    counts = [F.col(weight).alias(WEIGHT)] if weight else []
-    rows = rows.withColumn(label, F.col(label).cast("string")).select(label, *features, *counts)
-    if name == "rforest":
-        # a tree draws rows, not counts of rows: combinations are taken apart again
-        if weight:
-            rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(WEIGHT).cast("int")))).drop("__copy", WEIGHT)
-        weight, compressed = None, False
-    weighted = weight is not None or (compressed and name != "nnet")
+    counts = [F.col(weight).cast("double").alias(WEIGHT)] if weight else []
+    key = [F.col(id_col).alias(KEY)] if id_col and name == "rforest" else []
+    rows = rows.withColumn(label, F.col(label).cast("string")).select(label, *features, *counts, *key)
+    by_digest = name == "rforest" and bool(weight or key)
+    radial = name == "svm" and params.get("kernel", "linear") == "radial"
+    whole = (name == "nnet" and "decay" not in params) or (name == "rforest" and not weight)
+    weighted = weight is not None or (compressed and not whole)
     if weighted and not weight:
         rows = compress(rows, [label, *features])
-    prepared = _prepared(rows, features).persist()
+    if by_digest and not key:
+        rows = rows.withColumn(KEY, F.to_json(F.struct(label, *features)))
+    prepared = prepare(rows, features).persist()
     try:
         # every learner keeps numbers for each class, so the classes themselves fit the driver too
         found = prepared.groupBy(label).count().collect()
@@ -166,42 +129,55 @@ def fit(
         if len(levels) < 2:
             return Fitted(name, features, levels, None, [], text)
         trees = name in TREES
-        encoder = _encoder(prepared, text, trees, weight_free=name == "nnet").fit(prepared)
+        machines = name == "svm" and (radial or len(levels) > 2)
+        stages = encoder_for(text, trees, scale={"nnet": "minmax"}.get(name, "standard" if machines else None))
+        if radial:
+            stages.setStages([*stages.getStages(), FourierFeatures(params.get("gamma"), params.get("cosines", 200), seed)])
+        encoder = stages.fit(prepared)
         codes = train.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(levels)], f"`{label}` string, __y double")
         ordered = prepared
-        if name == "rforest":  # trees draw rows by their place: the same rows give the same trees
+        if name == "rforest" and not by_digest:  # trees draw rows by their place: the same rows give the same trees
             ordered = prepared.coalesce(max(1, tasks)).sortWithinPartitions(*prepared.columns)
         data = encoder.transform(ordered).join(small_or_plain(codes), label)
         # named to the learners, which else guess the classes and stop at a hundred
         nominal = {"ml_attr": {"type": "nominal", "num_vals": len(levels)}}
-        keep = ["__x", F.col("__y").alias("__y", metadata=nominal)] + ([WEIGHT] if weighted else [])
+        mass = F.col(WEIGHT) if weighted else F.lit(1.0)
+        keep = ["__x", F.col("__y").alias("__y", metadata=nominal), mass.alias(WEIGHT)] + ([KEY] if by_digest else [])
         data = data.select(*keep).coalesce(max(1, tasks))
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__prediction"}
         scores = {"probabilityCol": "__probability", "rawPredictionCol": "__raw"}
         weights = {"weightCol": WEIGHT} if weighted else {}
         if trees:
-            levels_wide = max(_category_sizes(encoder), default=0) + 1
+            levels_wide = max(category_sizes(encoder), default=0) + 1
             common["maxBins"] = max(32, levels_wide)
+            mtry = min(params.get("mtry", max(1, math.isqrt(len(features)))), len(features))
+        if trees and not by_digest:
             # Trees want at least as many rows as levels: split rows into shares of their weight.
             shares = -(-levels_wide // total)
             if shares > 1:
-                share = (F.col(WEIGHT) if weighted else F.lit(1.0)) / shares
-                data = data.withColumn(WEIGHT, share).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(shares))))
+                data = data.withColumn(WEIGHT, F.col(WEIGHT) / shares).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(shares))))
                 weights = {"weightCol": WEIGHT}
         if name == "glm":
             family = "binomial" if len(levels) == 2 else "multinomial"
             makers = [LogisticRegression(**common, **scores, **weights, family=family)]
+        elif machines:
+            how = {k: params[k] for k in ("cost", "max_iter", "tol") if k in params}
+            return Fitted(name, features, levels, encoder, [fit_machines(data, len(levels), **how)], text)
         elif name == "svm":
-            if len(levels) != 2:
-                raise ValueError("svm separates two classes")
-            mass = F.sum(WEIGHT) if weighted else F.count(F.lit(1))
-            reg = 1.0 / (params.get("cost", 1.0) * data.agg(mass).first()[0])
+            reg = 1.0 / (params.get("cost", 1.0) * data.agg(F.sum(WEIGHT)).first()[0])
             search = {"maxIter": params.get("max_iter", 20), "tol": params.get("tol", 1e-3)}
             makers = [LinearSVC(**common, **weights, **search, rawPredictionCol="__raw", regParam=reg)]
         elif name == "rpart":
             makers = [DecisionTreeClassifier(**common, **scores, **weights, seed=seed, maxDepth=params.get("depth", 5))]
+        elif by_digest:
+            how = {k: params[k] for k in ("ntree", "depth", "parallelism") if k in params}
+            data = data.persist()
+            try:
+                grown = grow(data, len(levels), total, mtry=mtry, seed=seed, levels=levels_wide, **how)
+            finally:
+                data.unpersist()
+            return Fitted(name, features, levels, encoder, [grown], text)
         elif name == "rforest":
-            mtry = min(params.get("mtry", max(1, math.isqrt(len(features)))), len(features))
             makers = [
                 RandomForestClassifier(
                     **common,
@@ -214,6 +190,9 @@ def fit(
                     bootstrap=params.get("bootstrap", True),
                 )
             ]
+        elif name == "nnet" and "decay" in params:
+            how = {k: params[k] for k in ("repeats", "size", "max_iter", "decay", "tol") if k in params}
+            return Fitted(name, features, levels, encoder, [fit_nets(data, len(levels), seed=seed, **how)], text)
         elif name == "nnet":
             width = len(data.select("__x").first()[0])
             layers = [width, params.get("size", 3), len(levels)]
@@ -231,10 +210,6 @@ def fit(
     return Fitted(name, features, levels, encoder, members, text)
 
 
-def _category_sizes(encoder: PipelineModel) -> list[int]:
-    return [len(v) for stage in encoder.stages for v in getattr(stage, "labelsArray", [])]
-
-
 def importance(fitted: Fitted) -> list[tuple[str, float]]:
     """Feature importances of a tree or forest, largest first."""
     weights = fitted.members[0].featureImportances.toArray()

@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import exclude
 from ..operators.sample import bootstrap, fold_id, sample_exact, sample_stratified, split
-from .classify import WEIGHT, compress, fit, is_text
+from ..sizing import checkpoint
+from .classify import fit
+from .encoding import WEIGHT, compress, is_text
 from .metrics import binary_metrics
 
 METRICS = ["accuracy", "ppv", "npv", "sensitivity", "specificity"]
 
 
-def _scores(train, test, label, features, name, seed, positive, compressed, params) -> dict:
-    fitted = fit(train, label, features, name, seed, compressed=compressed, **params)
-    weight = None
-    if compressed:
+def _scores(train, test, label, features, name, seed, positive, compressed, params, weight=None) -> dict:
+    """Metrics of one fit; ``weight`` names the counts that both tables already hold."""
+    fitted = fit(train, label, features, name, seed, compressed=compressed, weight=weight, **params)
+    if compressed and not weight:
         test, weight = compress(test, [label, *features]), WEIGHT
     row = binary_metrics(fitted.predict(test), "predicted", label, positive, weight=weight).first()
     return row.asDict()
@@ -153,21 +155,25 @@ def tune(
     seed: int = 1,
     positive: str = "NO",
     parallelism: int = 2,
+    compressed: bool = False,
 ) -> DataFrame:
     """Score every parameter combination: ``(model, params, accuracy, ...)``.
 
     Validates on ``cv``; without one, fits on a bootstrap resample and validates on the rows it
-    left out. The best row is ``argmax(result, "accuracy", ["params"])``.
+    left out. The best row is ``argmax(result, "accuracy", ["params"])``. ``compressed`` counts the distinct
+    combinations of both once, and all fits and scores read these.
     """
     wanted = [label, *features]
     if cv is None:
         drawn = bootstrap(train, id_col, seed)
         cv = exclude(train, drawn, id_col)
         train = drawn
-    with _kept(train.select(*wanted), cv.select(*wanted)) as (train, cv):
+    both = [compress(df, wanted) if compressed else df.select(*wanted) for df in (train, cv)]
+    weight = WEIGHT if compressed else None
+    with _kept(*both) as (train, cv):
 
         def run(params: dict) -> dict:
-            row = _scores(train, cv, label, features, name, seed, positive, False, params)
+            row = _scores(train, cv, label, features, name, seed, positive, False, params, weight)
             text = ", ".join(f"{k}={v}" for k, v in sorted(params.items()))
             return {"model": name, "params": text, **row}
 
@@ -198,6 +204,10 @@ def cross_validate(
     return _table(df.sparkSession, rows, "model string, fold int")
 
 
+#: What the reference's runs set, where they set anything.
+GRID_MODELS = {"svm": {"kernel": "radial"}, "rforest": {}, "nnet": {"size": 5, "repeats": 10, "decay": 0.001}}
+
+
 def run_grid(
     df: DataFrame,
     id_col: str,
@@ -205,27 +215,40 @@ def run_grid(
     features: Sequence[str],
     limits: Sequence[float] = (0.2, 0.5, 1.0),
     seeds: Sequence[int] = (10, 300, 5000, 700),
-    models: Mapping[str, Mapping] | Sequence[str] = ("svm", "rforest", "nnet"),
+    models: Mapping[str, Mapping] | Sequence[str] = tuple(GRID_MODELS),
     test_size: float = 0.2,
     strata: Sequence[str] | None = None,
     positive: str = "NO",
+    parallelism: int = 3,
 ) -> DataFrame:
     """Experiment grid over sample share, seed and model: tidy rows of metrics.
 
-    The test rows are drawn at random, or per stratum when ``strata`` is given.
+    The test rows are drawn at random, or per stratum when ``strata`` is given. The rows are written once; each
+    share and seed reads them to count the distinct combinations of its training and test rows, and its models
+    differ by these counts alone. Models without weights (a forest, nets without ``decay``) are fitted on the rows.
+    A few shares and seeds run side by side.
     """
-    models = models if isinstance(models, Mapping) else {m: {} for m in models}
-    rows = []
-    with _kept(df.select(id_col, label, *features)) as (wanted,):
-        for limit, seed in product(limits, seeds):
-            part = wanted if limit == 1 else sample_exact(wanted, id_col, limit, seed)
-            if strata:
-                test = sample_stratified(part, id_col, strata, test_size, f"{seed}t")
-                train = exclude(part, test, id_col)
-            else:
-                train, test = split(part, id_col, [round(1 - test_size, 9), test_size], f"{seed}t")
-            with _kept(train, test) as (train, test):
-                for name, params in models.items():
-                    got = _scores(train, test, label, features, name, seed, positive, False, dict(params))
-                    rows.append({"share": float(limit), "seed": int(seed), "model": name, **got})
-    return _table(df.sparkSession, rows, "share double, seed int, model string")
+    models = models if isinstance(models, Mapping) else {m: GRID_MODELS.get(m, {}) for m in models}
+    wanted = [label, *features]
+    kept = checkpoint(df.select(id_col, *dict.fromkeys([*wanted, *(strata or [])])))
+
+    def cell(at: tuple[float, int]) -> list[dict]:
+        limit, seed = at
+        part = kept if limit == 1 else sample_exact(kept, id_col, limit, seed)
+        if strata:
+            test = sample_stratified(part, id_col, strata, test_size, f"{seed}t")
+            train = exclude(part, test, id_col)
+        else:
+            train, test = split(part, id_col, [round(1 - test_size, 9), test_size], f"{seed}t")
+        with _kept(compress(train, wanted), compress(test, wanted)) as (counted, held):
+            rows = []
+            for name, params in models.items():
+                whole = name == "rforest" or (name == "nnet" and "decay" not in params)
+                source, weight = (train, None) if whole else (counted, WEIGHT)
+                fitted = fit(source, label, features, name, seed, weight=weight, **params)
+                got = binary_metrics(fitted.predict(held), "predicted", label, positive, weight=WEIGHT).first()
+                rows.append({"share": float(limit), "seed": int(seed), "model": name, **got.asDict()})
+        return rows
+
+    found = _in_parallel(list(product(limits, seeds)), cell, parallelism)
+    return _table(df.sparkSession, [r for rows in found for r in rows], "share double, seed int, model string")

@@ -12,8 +12,8 @@ from .aggregate import (
     row_count,
     summary,
 )
-from .check import DuplicateKeyError, assert_unique
-from .identify import deidentify, replace_ids, surrogate_ids
+from .check import DuplicateKeyError, assert_unique, naming_duplicates, unique_rows
+from .identify import deidentify, number_rows, replace_ids, surrogate_ids
 from .impute import (
     coalesce_from,
     fill_blank,
@@ -25,7 +25,7 @@ from .impute import (
 from .joins import assemble, before, exclude, inner, lookup, restrict_to
 from .pick import argmax, dedup_prefer, latest, pick_one
 from .quantiles import exact_quantiles
-from .sample import bootstrap, fold_id, sample_exact, sample_stratified, split, split_label
+from .sample import bootstrap, fold_id, left_out, poisson_copies, sample_exact, sample_stratified, split, split_label
 from .scale import minmax
 from .shape import (
     align,

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sizing import checkpoint, small_or_plain
+
 ID_PREFIX = 3  # hex digits: at most 4096 buckets
 
 
@@ -52,3 +54,22 @@ def replace_ids(df: DataFrame, key: str, ids: DataFrame, out: str = "ID") -> Dat
     """Put the surrogate in place of the real key."""
     joined = df.join(ids.select(F.col(key), F.col(out).alias("__id")), on=key, how="inner")
     return joined.withColumn(key, F.col("__id")).drop("__id")
+
+
+def number_rows(df: DataFrame, group: str, *order: str, out: str = "number") -> DataFrame:
+    """``df`` with each row's place (from 0) in its group's order.
+
+    Rows are dealt by ranges of group and order, so a group of any size lies in many tasks; the sizes of the
+    ranges, the only thing that is gathered, say where each begins. Ties follow the place they were read from.
+    A null group is a group.
+    """
+    by = ["__group", *order, "__tie"]
+    keyed = df.withColumn("__group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
+    dealt = keyed.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = dealt.drop("__tie").withColumn("__row", F.monotonically_increasing_id())
+    dealt = checkpoint(dealt.withColumn("__part", F.shiftright("__row", 33)))
+    sizes = dealt.groupBy("__group", "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shift = F.sum("__size").over(upto) - F.col("__size") - F.col("__first")
+    placed = dealt.join(small_or_plain(sizes.select("__group", "__part", shift.alias("__shift"))), ["__group", "__part"])
+    return placed.withColumn(out, F.col("__row") + F.col("__shift")).select(*df.columns, out)

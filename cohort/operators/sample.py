@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
-from math import exp, factorial
+from math import exp, factorial, pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -155,7 +155,7 @@ def sample_stratified(
     return keyed.join(small_or_plain(cuts), on=names).filter(F.col("__h") <= F.col("__cut")).select(*df.columns)
 
 
-def _uniform(id_col: str, seed) -> Column:
+def _uniform(id_col: str | Column, seed) -> Column:
     """A number in [0, 1) per row from 48 bits of the digest."""
     return F.conv(F.substring(order_hash(id_col, seed), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
@@ -173,17 +173,47 @@ def poisson_steps() -> list[float]:
     return out
 
 
+def _once_drawn(u: Column) -> Column:
+    """A Poisson(1) count by the number ``u`` in [0, 1)."""
+    chain, steps = None, poisson_steps()
+    for k, step in enumerate(steps):
+        chain = F.when(u < step, k) if chain is None else chain.when(u < step, k)
+    return chain.otherwise(len(steps))
+
+
+def poisson_copies(key: str | Column, weight: Column, seed) -> Column:
+    """How often a row that stands for ``weight`` equal ones is drawn with replacement: a Poisson(weight) count.
+
+    The count follows from the digest of seed and key. Up to a weight of 32 it is looked up in the cumulative
+    probabilities; above, where no exact table would fit, it is the rounded normal of the same mean and variance.
+    """
+    u = _uniform(key, seed)
+    w = weight.cast("double")
+    # probability of k, cumulative probability, k; beyond k = 200 less than 2**-53 is left
+    start = F.struct(F.exp(-w).alias("p"), F.exp(-w).alias("upto"), F.lit(0).alias("k"))
+
+    def step(at: Column, i: Column) -> Column:
+        p = at["p"] * w / i
+        more = F.struct(p.alias("p"), (at["upto"] + p).alias("upto"), i.alias("k"))
+        return F.when(u < at["upto"], at).otherwise(more)
+
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step)["k"].cast("double")
+    angle = F.cos(2 * pi * _uniform(key, f"{seed}z"))
+    many = F.greatest(F.floor(w + F.sqrt(w) * F.sqrt(-2 * F.log(1 - u)) * angle + 0.5).cast("double"), F.lit(0.0))
+    return F.when(w == 1, _once_drawn(u).cast("double")).when(w <= 32, few).otherwise(many)
+
+
+def left_out(key: str | Column, seed) -> Column:
+    """Whether ``poisson_copies`` draws a single row not at all."""
+    return _uniform(key, seed) < poisson_steps()[0]
+
+
 def bootstrap(df: DataFrame, id_col: str, seed) -> DataFrame:
     """Resample with replacement: every row is drawn a Poisson(1) number of times.
 
     The count comes from the row's own digest, so a lost task redraws the same copies.
     """
-    u, chain = _uniform(id_col, seed), None
-    steps = poisson_steps()
-    for k, step in enumerate(steps):
-        chain = F.when(u < step, k) if chain is None else chain.when(u < step, k)
-    copies = chain.otherwise(len(steps))
-    drawn = df.withColumn("__copies", copies).filter(F.col("__copies") > 0)
+    drawn = df.withColumn("__copies", _once_drawn(_uniform(id_col, seed))).filter(F.col("__copies") > 0)
     return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
 
 

@@ -7,6 +7,7 @@ def all_queries():
         catalog,
         clean_queries,
         decided_queries,
+        learner_queries,
         model_queries,
         relation_queries,
         saturated_queries,

@@ -289,8 +289,12 @@ def tests_and_delays(df: DataFrame) -> DataFrame:
     return op.fill_const(df, FILLS)
 
 
-def model_fills(df: DataFrame, height_model: str = "rforest", **height_params) -> DataFrame:
-    """Height group, baseline doses, weight change and disease site predicted where missing."""
+def model_fills(df: DataFrame, height_model: str = "svm", **height_params) -> DataFrame:
+    """Height group, baseline doses, weight change and disease site predicted where missing.
+
+    The height group is told by radial machines unless another model is named.
+    """
+    height_params = ({"kernel": "radial"} if height_model == "svm" else {}) | height_params
     df = ml.fill_by_model(df, "HeightGroup", ["AgeGroup", "Gender", "WeightGroup"], height_model, **height_params)
     base = ["BaselineRegimen", "AgeGroup", "BaselinePatientCategory", "BaselinePatientType", "BaselineWeightGroup"]
     df = ml.fill_by_model(df, "BaselineDoseCombination", base)

@@ -63,7 +63,7 @@ def _grid_part(share: float, seed: int) -> str:
     return f"SELECT {share}::double AS share, {seed} AS seed, * FROM ({_ranked(f'{seed}t', f'(SELECT id, size_group, outcome FROM {part})')})"
 
 
-_SHARES, _SEEDS = [0.5, 1.0], [10, 300]
+_SHARES, _SEEDS = [0.2, 0.5, 1.0], [10, 300, 5000, 700]
 _GRID = " UNION ALL ".join(_grid_part(share, seed) for share in _SHARES for seed in _SEEDS)
 
 

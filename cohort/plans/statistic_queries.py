@@ -208,6 +208,21 @@ def metrics_log(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("run", "n")
 
 
+@query(
+    "metrics_repeated",
+    """
+    SELECT 'one' AS run, count(*)::bigint AS n FROM orders UNION ALL SELECT 'two', count(*)::bigint FROM customer
+    """,
+)
+def metrics_repeated(t: Tables) -> DataFrame:
+    """Run ``one`` fails after its first results and is repeated; the log keeps one copy of each run."""
+    path = f"{shared_folder(t.spark)}/runs-{uuid.uuid4().hex}"
+    src.log_metrics(op.row_count(t.lineitem).select("n"), path, "one")
+    src.log_metrics(op.row_count(t.customer).select("n"), path, "two", stamp=False)
+    src.log_metrics(op.row_count(t.orders).select("n"), path, "one")
+    return t.spark.read.parquet(path).select("run", "n")
+
+
 @query(
     "encode",
     """

@@ -348,11 +348,15 @@ def treatment_outcome(a: Source, b: Source, cohort: DataFrame | None = None) ->
 def wide_table(
     a: Source, b: Source, known_bad: list[Mapping] = (), salt: str = "", check: bool = True
 ) -> DataFrame:
-    """The 84-column table, one row per subject; ``check`` raises where a stage repeats a subject.
+    """The 84-column table, one row per subject; with ``check`` the run fails where a stage repeats a subject.
 
-    All records are restricted to the cohort as they are read, before anything is aggregated.
+    The check is part of the plan, so every stage is computed once; repeated subjects of the cohort itself, which
+    is written first, raise at once. All records are restricted to the cohort as they are read, before anything
+    is aggregated.
     """
-    cohort = checkpoint(patients(a, b))
+    guard = (lambda df: op.unique_rows(df, "PatientID")) if check else (lambda df: df)
+    with op.naming_duplicates():
+        cohort = checkpoint(guard(patients(a, b)))
     keys = small_or_plain(cohort.select("PatientID").distinct())
     a, b = (
         {
@@ -368,10 +372,7 @@ def wide_table(
         baseline_treatment(a, b),
         treatment_outcome(a, b),
     ]
-    if check:
-        for stage in [cohort, *stages]:
-            op.assert_unique(stage, "PatientID")
-    screened, *rest = stages
+    screened, *rest = map(guard, stages)
     joined = op.assemble(op.inner(cohort, screened.drop("EncounterID"), "PatientID"), rest, "PatientID")
     joined = op.replace_ids(joined, "PatientID", op.surrogate_ids(cohort, "PatientID", salt=salt))
     dim = practitioners(a, b).withColumnsRenamed({"Qualification": "GPQualification", "Speciality": "GPSpeciality"})

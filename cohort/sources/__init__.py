@@ -2,13 +2,17 @@
 
 from .tables import (
     append_metrics,
+    apply_dictionary,
+    dictionary,
     encode,
+    log_metrics,
     read_csv,
     read_dictionary,
     scan,
     scan_jdbc,
     scan_table,
     stage,
+    stage_bucketed,
     write_csv,
 )
 

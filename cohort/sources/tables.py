@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.identify import number_rows
+from ..sizing import small_or_plain
+
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a source kept as Parquet under a common root."""
@@ -67,18 +69,60 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, "attribute string, description string, measurement string, category string")
 
 
-def encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> tuple[DataFrame, StringIndexerModel]:
-    """Dictionary-encode text columns, levels in alphabetical order; null and unseen get the last code."""
-    model = StringIndexer(
-        inputCols=list(cols),
-        outputCols=[c + suffix for c in cols],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    ).fit(df)
-    return model.transform(df), model
+def dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The levels of text columns in alphabetical order: ``(column, value, code)``, codes from 0.
+
+    All columns are read in one pass. The distinct values are numbered where they lie, so a column may have any
+    number of them; none reaches the driver.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    return number_rows(values, "column", "value", out="code")
+
+
+def apply_dictionary(df: DataFrame, levels: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Add the codes of a dictionary; null and unseen values get the number of levels."""
+    counted = levels.filter(F.col("column").isin(*cols)).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["column"]: r["n"] for r in counted.collect()}  # one number a column
+    kept = df.columns
+    for c in cols:
+        own = levels.filter(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias(c + suffix))
+        df = df.join(small_or_plain(own), F.col(c).cast("string") == F.col("__value"), "left").drop("__value")
+        df = df.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(sizes.get(c, 0))).cast("double"))
+    return df.select(*kept, *[c + suffix for c in cols])
+
+
+def encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> tuple[DataFrame, DataFrame]:
+    """Dictionary-encode text columns, levels in alphabetical order; null and unseen get the last code.
+
+    Returns the coded rows and the dictionary, which ``apply_dictionary`` puts on other rows.
+    """
+    levels = dictionary(df, cols)
+    return apply_dictionary(df, levels, cols, suffix), levels
 
 
 def append_metrics(df: DataFrame, path: str, stamp: bool = True) -> None:
     """Append experiment results to a Parquet log, with the time if wanted."""
     when = F.current_timestamp() if stamp else F.lit(None).cast("timestamp")
     df.withColumn("logged_at", when).write.mode("append").parquet(path)
+
+
+def log_metrics(df: DataFrame, path: str, run: str, stamp: bool = True) -> None:
+    """Write the results of one run to a Parquet log kept by run, with the time if wanted.
+
+    A run that is logged again, because it or a stage of it was repeated, replaces its own rows and no others.
+    """
+    when = F.current_timestamp() if stamp else F.lit(None).cast("timestamp")
+    rows = df.withColumns({"run": F.lit(run), "logged_at": when})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write an intermediate result as a table bucketed and sorted by a key, and read it back.
+
+    It is shuffled once, here: joins and aggregates on the key between tables of equally many buckets need no
+    further exchange. ``path`` names the folder of the table if it isn't to lie in the warehouse.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.read.table(name)

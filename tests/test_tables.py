@@ -183,8 +183,9 @@ def test_dictionary_stage_metrics_and_encoding(frame, spark, tmp_path):
     assert report["x"]["n_distinct"] == 2 and report["x"]["min"] == "a"
     assert op.profile(df, exact_distinct=False).count() == 2
     assert src.stage(df, "staged", persist=True).count() == spark.table("staged").count()
-    coded, model = src.encode(df, ["x"])
-    assert [r["x_code"] for r in coded.collect()] == [1.0, 2.0, 0.0] and list(model.labelsArray[0]) == ["a", "b"]
+    coded, levels = src.encode(df, ["x"])
+    assert [r["x_code"] for r in coded.orderBy(F.col("y").asc_nulls_last()).collect()] == [1.0, 2.0, 0.0]
+    assert bag(levels) == [("x", "a", 0), ("x", "b", 1)]
     src.append_metrics(df, str(tmp_path / "log"))
     src.append_metrics(df, str(tmp_path / "log"), stamp=False)
     assert spark.read.parquet(str(tmp_path / "log")).filter("logged_at is null").count() == 3
