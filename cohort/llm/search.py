@@ -206,12 +206,11 @@ class Postings:
         self.last, self.cut, self.most, self.data, self.m = last, cut, most, data, m
         self.blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.read = 0
+        self.none = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def block(self, i: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and shares of one block."""
         if (i, b) not in self.blocks:
-            self.read += 1
             cut = self.cut[i]
             end = cut[b + 1] if b + 1 < len(cut) else len(self.data[i])
             values = values_of(np.frombuffer(self.data[i], np.uint8)[cut[b] : end])
@@ -219,11 +218,21 @@ class Postings:
             self.blocks[i, b] = docs, share(values[1::2], self.m[docs])
         return self.blocks[i, b]
 
-    def whole(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def span(self, i: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents from ``begin`` to ``end`` and their shares; only the blocks that hold them are decompressed."""
         if i not in self.lists:
-            parts = [self.block(i, b) for b in range(len(self.cut[i]))]
-            self.lists[i] = parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
-        return self.lists[i]
+            a = int(np.searchsorted(self.last[i], begin))
+            b = min(int(np.searchsorted(self.last[i], end - 1)) + 1, len(self.cut[i]))
+            if a == b:
+                return self.none
+            parts = [self.block(i, k) for k in range(a, b)]
+            found = parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+            if b - a == len(self.cut[i]):
+                self.lists[i] = found
+        else:
+            found = self.lists[i]
+        a, b = np.searchsorted(found[0], (begin, end))
+        return found[0][a:b], found[1][a:b]
 
 
 def best(lists: Postings, chosen: np.ndarray, weight: np.ndarray, top: np.ndarray, order: np.ndarray, k: int = TOP):
@@ -245,9 +254,8 @@ def best(lists: Postings, chosen: np.ndarray, weight: np.ndarray, top: np.ndarra
             break
         sums = np.zeros(end - begin, np.int64)
         for i, w in zip(chosen[lesser:], weight[lesser:]):
-            held, g = lists.whole(i)
-            a, b = np.searchsorted(held, (begin, end))
-            sums[held[a:b] - begin] += w * g[a:b]
+            held, g = lists.span(i, begin, end)
+            sums[held - begin] += w * g
         found = np.flatnonzero(sums)
         got, found = sums[found], found + begin
         if lesser:

@@ -248,6 +248,11 @@ def infer(values: list[str], alpha: float = ALPHA) -> dict:
             settled.append(new)
             where.add(new)
         waiting = [(p, c) for p in settled for c in tree.next[p] if tree.next[p][c] not in where]
+    return described(tree, settled)
+
+
+def described(tree: PrefixTree, settled: list[int]) -> dict:
+    """The settled states of a tree as plain lists: chance to end; per class where it leads, its chance, its characters."""
     number = {q: i for i, q in enumerate(settled)}
     letters: dict[str, dict[str, int]] = {}
     for q in settled:
@@ -295,23 +300,56 @@ class Automaton:
         return total + self.stop[at]
 
 
+def single_state(values: list[str]) -> dict:
+    """The automaton of one state: characters in any order."""
+    tree = PrefixTree(sorted(values))
+    for q in range(len(tree.ends) - 1, 0, -1):  # children come after their parents
+        tree.ends[0] += tree.ends[q]
+        for s, n in tree.went[q].items():
+            tree.went[0][s] = tree.went[0].get(s, 0) + n
+            held = tree.letters[0].setdefault(s, {})
+            for c, k in tree.letters[q][s].items():
+                held[c] = held.get(c, 0) + k
+    tree.next[0] = dict.fromkeys(tree.went[0], 0)
+    return described(tree, [0])
+
+
+def background(values: list[str], kinds: list[dict], odds: float = ODDS) -> dict:
+    """The automaton of the tokens that aren't labelled, without those that follow a kind's grammar.
+
+    Secrets without their context are among these tokens. Taken for background they would hide their like, so those
+    are left out that a kind's automaton explains so much better than loose characters do.
+    """
+    if not values:
+        return {"states": [[0.05, {}]]}
+    loose, machines = Automaton(single_state(values)), [Automaton(m) for m in kinds]
+    least = math.log(odds)
+    plain = [v for v in values if all(machine(v) - loose(v) < least for machine in machines)]
+    return infer(plain) if plain else {"states": [[0.05, {}]]}
+
+
 def learn(docs: DataFrame, limit: int = EXAMPLES) -> dict:
     """Automata of the kinds and the background, and each kind's prior odds, learned from all texts.
 
     Counts are over all texts; each automaton is inferred from at most ``limit`` examples, in one task a kind.
     Kinds with fewer than FEWEST different examples are left out.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = json.dumps(infer(rows["value"].tolist()))
-        return pd.DataFrame({"kind": rows["kind"].iloc[:1], "model": [model], "total": rows["total"].iloc[:1], "n": [len(rows)]})
-
-    found = examples(docs, limit).groupBy("kind").applyInPandas(run, "kind string, model string, total long, n long").collect()
-    other = next((r for r in found if r.kind == OTHER), None)
-    background = json.loads(other.model) if other else {"states": [[0.05, {}]]}
+    sample = checkpoint(examples(docs, limit))
+    schema = "kind string, model string, total long, n long"
+
+    def row(rows: pd.DataFrame, model: dict) -> pd.DataFrame:
+        return pd.DataFrame({"kind": rows["kind"].iloc[:1], "model": [json.dumps(model)], "total": rows["total"].iloc[:1], "n": [len(rows)]})
+
+    labelled = sample.filter(F.col("kind") != OTHER).groupBy("kind")
+    found = labelled.applyInPandas(lambda rows: row(rows, infer(rows["value"].tolist())), schema).collect()
+    models = {r.kind: json.loads(r.model) for r in found if r.n >= FEWEST}
+    known = list(models.values())
+    rest = sample.filter(F.col("kind") == OTHER).groupBy("kind")
+    other = rest.applyInPandas(lambda rows: row(rows, background(rows["value"].tolist(), known)), schema).first()
     every = (other.total if other else 0) + 1
-    kinds = {r.kind: (json.loads(r.model), math.log(r.total / every)) for r in found if r.kind != OTHER and r.n >= FEWEST}
-    return {"other": background, "kinds": {k: kinds[k] for k in KINDS if k in kinds}}
+    prior = {r.kind: math.log(r.total / every) for r in found}
+    own = json.loads(other.model) if other else background([], [])
+    return {"other": own, "kinds": {k: (models[k], prior[k]) for k in KINDS if k in models}}
 
 
 class Scorer:
