@@ -20,13 +20,18 @@ BLOCK = set(
 #: Elements that never belong to the article.
 ASIDE = set("nav footer aside form button menu dialog".split())
 #: Names of classes, ids and roles of parts that don't belong to the article: a name counts as a whole, or if all
-#: words between its hyphens are such names.
+#: words between its hyphens are such names or say no more than that it is a part (FILLERS).
 ASIDE_NAMES = set(
     "nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar side aside ad ads advert advertisement advertising "
     "banner sponsor sponsored promo promotion cookie cookies consent notice popup modal newsletter subscribe comment comments "
     "comment-list replies reply discussion disqus related recommended share sharing social widget toolbar pagination pager login "
-    "signup search copyright skip-link hidden".split()
+    "signup search copyright skip-link hidden adsbygoogle gdpr disqus-thread respond".split()
 )
+FILLERS = set("area bar block box container inner list section slot thread unit wrap wrapper zone".split())
+#: Ids that tell a section of reader comments; other ids of sections are addresses.
+COMMENTS = set("comments comment-list comments-area comment-section respond disqus-thread".split())
+#: What a head may hold; anything else ends it.
+HEAD_CONTENT = set("base link meta noscript script style template title".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose id can name a part of the layout; elsewhere it is the address of a heading, a section or a place.
 LAYOUT = set("div ul ol dl table tbody tr td center header".split())
@@ -68,10 +73,14 @@ def _aside_named(tag: str, extra: str) -> bool:
     if tag in HEADING:
         return False
     for kind, *values in NAMED.findall(extra):
-        if kind.lower() != "id" or tag in LAYOUT:
-            for name in "".join(values).lower().replace("_", "-").split():
-                if name in ASIDE_NAMES or all(w in ASIDE_NAMES for w in name.split("-")):
+        for name in "".join(values).lower().replace("_", "-").split():
+            if kind.lower() == "id" and tag not in LAYOUT:
+                if tag == "section" and name in COMMENTS:
                     return True
+                continue
+            words = name.split("-")
+            if name in ASIDE_NAMES or not ASIDE_NAMES.isdisjoint(words) and all(w in ASIDE_NAMES or w in FILLERS for w in words):
+                return True
     return False
 
 
@@ -110,6 +119,8 @@ def parse(page: str) -> Node:
             elif tag in ("p", "br"):
                 node.parts.append(Node(tag, node))
             continue
+        if node.tag == "head" and tag not in HEAD_CONTENT and tag not in ("html", "head"):  # its end was left out
+            node = close(node)
         if tag in ("html", "body"):
             if tag == "body" and not depth.get("body"):
                 child = Node("body", node)
