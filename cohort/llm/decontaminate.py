@@ -127,9 +127,9 @@ def best_match(item: np.ndarray, words: np.ndarray, starts: np.ndarray, threshol
 class Items:
     """The pairs of some benchmark items: sorted distinct numbers, and for each pair which it is, its item and place."""
 
-    def __init__(self, texts: dict[int, str]) -> None:
-        self.words = {k: w for k, t in texts.items() if len(w := _words(t))}
-        self.ids = list(self.words)
+    def __init__(self, rows: list[tuple[int | None, str]]) -> None:
+        self.words = {k: w for k, (_, t) in enumerate(rows) if len(w := _words(t))}
+        self.ids = [rows[k][0] for k in self.words]
         # a single word is its own seed
         found = [pairs(w) if len(w) > 1 else (grams(w, 1), np.zeros(1, np.int64)) for w in self.words.values()]
         keys = np.concatenate([np.empty(0, U64), *(k for k, _ in found)])
@@ -237,10 +237,10 @@ def matchers(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     """One for each block of at most about ``BLOCK_BYTES`` of items, whatever the size of the benchmark."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
-    usable = benchmark.filter("item_id is not null and text is not null")
+    usable = benchmark.filter("text is not null").select("item_id", "text").distinct()
     for block in range(blocks):
-        mine = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text")
-        items = Items({r[0]: r[1] for r in mine.toLocalIterator()})
+        mine = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        items = Items([(r[0], r[1]) for r in mine.toLocalIterator()])
         if items.ids:
             yield Matcher(items, _frequencies(docs, items), threshold)
 
@@ -256,7 +256,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     Besides the share, at least ``MATCHED`` words of an item must be matched, or all words of a shorter one.
     Items without words fit nothing; an item of fewer than three words must occur whole and in order. Null
     and empty texts match nothing. Repeated documents give repeated rows; repeated item texts a row for each
-    item id. Empty tables give no rows; other columns are left out.
+    item id; an item id with several texts, or none (null), a row for each text that is matched. Empty tables give no rows; other columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, first_word int, end_word int"
@@ -277,7 +277,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without a match, with all their columns. Each row is judged by its text; nothing is shuffled."""
+    """The documents without a match, with all their columns. Each row is judged by its text; nothing is shuffled.
+
+    Null and empty texts match nothing and stay. Items whose id repeats or is null count like any other.
+    """
     text = docs.columns.index("text")
     for matcher in matchers(docs, benchmark, threshold):
 
