@@ -111,13 +111,15 @@ def fit(
     counts = [F.col(weight).cast("double").alias(WEIGHT)] if weight else []
     key = [F.col(id_col).alias(KEY)] if id_col and name == "rforest" else []
     rows = rows.withColumn(label, F.col(label).cast("string")).select(label, *features, *counts, *key)
-    by_digest = name == "rforest" and bool(weight or key)
+    by_digest = name == "rforest" and params.get("bootstrap", True) and bool(weight or key)
     radial = name == "svm" and params.get("kernel", "linear") == "radial"
     whole = (name == "nnet" and "decay" not in params) or (name == "rforest" and not weight)
     weighted = weight is not None or (compressed and not whole)
     if weighted and not weight:
         rows = compress(rows, [label, *features])
-    if by_digest and not key:
+    if not by_digest:
+        rows = rows.drop(KEY)
+    elif not key:
         rows = rows.withColumn(KEY, F.to_json(F.struct(label, *features)))
     prepared = prepare(rows, features).persist()
     try:
