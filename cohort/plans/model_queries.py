@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import functions as fn
 from .. import models as ml
 from .. import operators as op
+from ..sizing import checkpoint
 from .catalog import Tables, holed, query
 
 FEATURES = ["l_returnflag", "size_group", "discount", "p_type"]
@@ -32,8 +33,13 @@ def outcome_rows(t: Tables) -> DataFrame:
     )
 
 
+def kept_rows(t: Tables) -> DataFrame:
+    """The same written out once: splits, fits and scores read them many times."""
+    return checkpoint(outcome_rows(t))
+
+
 def _scored(t: Tables, name: str, **params) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=300)
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=300)
     fitted = ml.fit(train, "outcome", FEATURES, name, seed=300, **params)
     return ml.binary_metrics(fitted.predict(test), "predicted", "outcome")
 
@@ -65,7 +71,7 @@ def tree(t: Tables) -> DataFrame:
 
 @query("analyze")
 def analyze(t: Tables) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=300)
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=300)
     accuracy = ml.analyze(train, test, "outcome", FEATURES, "glm")
     return t.spark.createDataFrame([("glm", accuracy)], "model string, accuracy double")
 
@@ -103,26 +109,25 @@ def model_fill_bad(t: Tables) -> DataFrame:
 
 @query("screen_columns")
 def screen_columns(t: Tables) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
-    params = {"rforest": {"ntree": 5}, "svm": {"max_iter": 5}}
-    return ml.screen_columns(train, test, "outcome", ["l_returnflag", "size_group", "p_type"], params=params)
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=10)
+    return ml.screen_columns(train, test, "outcome", FEATURES, params={"rforest": {"ntree": 10}})
 
 
 @query("forward_select")
 def forward_select(t: Tables) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
-    return ml.forward_select(train, test, "outcome", ["l_returnflag"], ["p_type", "size_group"], name="glm")
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=10)
+    return ml.forward_select(train, test, "outcome", ["l_returnflag"], ["p_type", "size_group", "discount"], name="glm")
 
 
 @query("tune_grid")
 def tune_grid(t: Tables) -> DataFrame:
-    train, cv, _ = op.split(outcome_rows(t), "id", [0.6, 0.2, 0.2], seed=10)
-    return ml.tune(train, "outcome", FEATURES, "rforest", {"mtry": [1, 3], "ntree": [5]}, cv=cv)
+    train, cv, _ = op.split(kept_rows(t), "id", [0.6, 0.2, 0.2], seed=10)
+    return ml.tune(train, "outcome", FEATURES, "rforest", {"mtry": [1, 2, 3, 4], "ntree": [20]}, cv=cv)
 
 
 @query("tune_bootstrap")
 def tune_bootstrap(t: Tables) -> DataFrame:
-    train, _ = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
+    train, _ = op.split(kept_rows(t), "id", [0.8, 0.2], seed=10)
     return ml.tune(train, "outcome", FEATURES, "svm", {"cost": [0.5, 1.072]}, id_col="id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import models as ml
 from .. import operators as op
 from .catalog import Tables, holed, query
-from .model_queries import outcome_rows
+from .model_queries import kept_rows, outcome_rows
 
 _OUTCOME = """
     o AS (
@@ -53,7 +53,7 @@ _LONG = " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS v, outcome, rn <
     """,
 )
 def screen_saturated(t: Tables) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=10)
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=10)
     models = ["glm", "rforest", "rpart"]
     return _rounded(ml.screen_columns(train, test, "outcome", _COLUMNS, models, params={"rforest": {"ntree": 3, "bootstrap": False}}))
 
@@ -104,7 +104,7 @@ def folds_saturated(t: Tables) -> DataFrame:
     """,
 )
 def tune_saturated(t: Tables) -> DataFrame:
-    train, cv, _ = op.split(outcome_rows(t), "id", [0.6, 0.2, 0.2], seed=10)
+    train, cv, _ = op.split(kept_rows(t), "id", [0.6, 0.2, 0.2], seed=10)
     return _rounded(ml.tune(train, "outcome", ["size_group"], "rpart", {"depth": [4, 6]}, cv=cv))
 
 
@@ -117,7 +117,7 @@ def tune_saturated(t: Tables) -> DataFrame:
     """,
 )
 def analyze_saturated(t: Tables) -> DataFrame:
-    train, test = op.split(outcome_rows(t), "id", [0.8, 0.2], seed=300)
+    train, test = op.split(kept_rows(t), "id", [0.8, 0.2], seed=300)
     accuracy = ml.analyze(train, test, "outcome", ["size_group"], "glm", compressed=True)
     return t.spark.createDataFrame([("glm", accuracy)], "model string, accuracy double")
 
