@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cohort.llm.textops import release
 from cohort.sizing import checkpoint
 
 CAPACITY = 2048
@@ -106,6 +107,11 @@ class WordIds:
             self.known.update((w, first + i) for i, (w, _) in enumerate(both))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        ids, lengths = self.flat(texts)
+        return np.split(ids, np.cumsum(lengths)[:-1])
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
         if len(self.known) > self.limit:
             self._clear()
         # lower case first means fewer words; it is the tokenizer's own, but for signs that look to their neighbours
@@ -123,8 +129,8 @@ class WordIds:
         ends = np.cumsum(n)
         ids = self.pool[np.arange(int(n.sum())) + np.repeat(self.begin[at] - (ends - n), n)]
         # where each text's last word ends
-        cuts = np.append(0, ends)[(split.offsets.to_numpy() - split.offsets[0].as_py())[1:-1]]
-        return np.split(ids, cuts)
+        cuts = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(cuts)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -144,15 +150,23 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             group = np.cumsum(size) // BLOCK_BYTES
             begins = np.flatnonzero(np.diff(group, prepend=-1))
             for a, b in zip(begins, np.append(begins[1:], len(group))):
-                part, rows = batch.slice(a, b - a), []
-                for i, ids in enumerate(encode(part.column("text"))):
-                    ids = np.append(ids, 0).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        some = ids[start : start + capacity]
-                        rows.append((i, piece, start, len(some), zlib.crc32(some.tobytes())))
-                at, *rest = zip(*rows)
-                columns = [pa.array(x, k) for x, k in zip(rest, kinds)]
+                part = batch.slice(a, b - a)
+                ids, own = encode.flat(part.column("text"))
+                own = own + 1  # and the end mark
+                ends = np.cumsum(own)
+                buffer = np.zeros(ends[-1], "<u4")
+                buffer[np.arange(len(ids)) + np.repeat(np.arange(len(own)), own - 1)] = ids
+                count = -(-own // capacity)
+                at = np.repeat(np.arange(len(own)), count)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(own[at] - start, capacity)
+                view, first = memoryview(buffer).cast("B"), (ends - own)[at] + start
+                crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + length).tolist())]
+                columns = [pa.array(x, k) for x, k in zip((piece, start, length, crc), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), *columns], names)
+        del encode
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
