@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -116,3 +119,15 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     if 0 < len(words) < n:
         return grams(words, len(words)) ^ U64(len(words))
     return distinct(grams(words, n))
+
+
+def release() -> None:
+    """Give back the memory that a task has left behind: Python workers live on and serve other stages.
+
+    Called when a task's last batch is done; it changes no result.
+    """
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.textops import ALPHANUMERIC, U64, hash_spans, mix, word_spans
+from cohort.llm.textops import ALPHANUMERIC, hash_spans, mix, release, U64, word_spans
 
 #: Words of a window, and how far the next one begins after it.
 WINDOW, STRIDE = 24, 12
@@ -16,7 +16,7 @@ HIDDEN, INPUT = 12, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13
 #: Bounds of the sample that the network is fitted on: labelled rows of each class, and bytes of a row's text.
 TOXIC_ROWS, CLEAN_ROWS, TEXT_BYTES = 1500, 3000, 20_000
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Training steps that small samples get as well.
 STEPS = 400
 
@@ -306,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> dict[str, np.ndarray]
         if len(set(toxic)) == 2:
             fitted = train(texts, toxic, **options)
         rows = [(k, v.dtype.str, list(v.shape), v.tobytes()) for k, v in fitted.items()]
+        release()
         kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["name", "kind", "shape", "data"])
 
@@ -347,6 +348,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             found = _scores(model, batch.column("text"))
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int"
@@ -360,5 +362,6 @@ def keep_clean(docs: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(at)) < 0.5))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
