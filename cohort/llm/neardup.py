@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohort.llm.graph import components
-from cohort.llm.textops import U64, mix, shingle_set
-from cohort.sizing import checkpoint
+from cohort.llm.textops import U64, mix, release, shingle_set
+from cohort.sizing import checkpoint, small_or_plain
 
 BANDS, ROWS = 32, 4
-#: Further members of a bucket that become centres of a star before the rest is compared in blocks.
-ROUNDS = 3
+#: Steps in which members of many buckets are compared with one centre each.
+STEPS = 3
+#: Rounds in which so many open members of a group become centres of a star, before the rest is compared in blocks.
+ROUNDS, CENTRES = 6, 4
 BLOCK = 128
 
 
@@ -73,30 +77,40 @@ def sketch(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
             out = []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text)
-                with np.errstate(over="ignore"):
-                    d1, d2 = found.sum(), mix(found + U64(12345)).sum()
-                digest = _signed(np.array([d1, d2], U64))
                 keys = _signed(bands(superminhash(found, n_bands * rows), n_bands, rows)) if len(found) else None
-                out.append((len(found), *digest, keys))
+                out.append((len(found), *_digest(found), keys))
             n, d1, d2, keys = zip(*out) if out else [()] * 4
             columns = [pa.array(x, pa.int64()) for x in (n, d1, d2)] + [pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], _SKETCH)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
     )
 
 
+def _digest(found: np.ndarray) -> list[int]:
+    with np.errstate(over="ignore"):
+        return _signed(np.array([found.sum(), mix(found + U64(12345)).sum()], U64))
+
+
+def _class_of() -> Column:
+    """A number for each different shingle set."""
+    return F.xxhash64("n_shingles", "d1", "d2")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """rep, shingles of the documents given."""
+    """rep (the number of the set), shingles of the documents given, each set once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"rep": part["doc_id"], "shingles": [_signed(shingle_set(t)) for t in part["text"]]})
+                found = [shingle_set(t) for t in batch["text"].iloc[at : at + 500]]
+                d1, d2 = zip(*map(_digest, found))
+                yield pd.DataFrame({"n_shingles": [len(f) for f in found], "d1": d1, "d2": d2, "shingles": list(map(_signed, found))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "rep long, shingles array<long>")
+    made = docs.select("text").mapInPandas(run, "n_shingles long, d1 long, d2 long, shingles array<long>")
+    return made.select(_class_of().alias("rep"), "shingles").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,12 +128,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside the buckets (bucket, rep, component, open) that stars have left open, a block pair at a time.
+    """Links inside the groups (bucket, rep, component, open) that stars have left open, a block pair at a time.
 
-    Only the open members still have to be compared, each with all members of its bucket. Both are cut into
+    Only the open members still have to be compared, each with all members of its group. Both are cut into
     blocks of about ``BLOCK``, and each pair of an open and a member block is one small task's group; it skips
     what is linked already and hands on a spanning forest, never all pairs. A member is sent once for each
-    open block, of which most buckets have one.
+    open block, of which most groups have one.
     """
     size = rest.groupBy("bucket").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("o")
@@ -159,55 +173,110 @@ def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between classes (rep, bands) whose sets are similar enough, as few as keep their components.
+    """Links between classes (rep, doc_id, bands) whose sets are similar enough, as few as keep their components.
 
-    Each bucket is first a star around its smallest member: as many candidates as members. Where the confirmed
-    links leave a bucket in several components, a member outside the main one becomes the next centre, in up
-    to ``ROUNDS`` rounds. What buckets with more members still leave open is compared in blocks.
+    Each bucket is first a star around its smallest member: as many candidates as members. Buckets that the
+    confirmed links leave in several components are open. Open buckets with members in common form a group, in
+    which a member counts once however many buckets it shares; there a few members outside the main component
+    become centres, in up to ``ROUNDS`` rounds, and what is then still open is compared in blocks.
     """
     member = classes.select(F.explode("bands").alias("bucket"), "rep")
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
     member = checkpoint(member.join(size, "bucket"))
-    involved = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = checkpoint(_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")))
+    involved = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    sets = docs.select("doc_id", "text").join(involved, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = checkpoint(_sets(sets).join(member.select("rep").distinct(), "rep", "left_semi"))
 
     star = member.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = checkpoint(_confirm(star, sets, percent))
-
-    # every further round: one member outside the main component becomes a centre; buckets of two are settled
-    checked = star
-    left = member.filter("n > 2").select("bucket", "rep", "centre", F.array().cast("array<bigint>").alias("used"))
-    for _ in range(ROUNDS):
-        named = _named(left, links)
-        outside = named.filter((F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep")))
-        new = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("open"), F.min("rep").alias("c"))
-        chosen = new.join(outside.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own")), ["bucket", "c"])
-        named = checkpoint(named.join(chosen, "bucket"))
-        pairs = (
-            named.filter("component <> own")
-            .select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b"))
-            .distinct()
-            .join(checked, ["a", "b"], "left_anti")
-        )
-        pairs = checkpoint(pairs)
-        checked = checked.union(pairs)
-        links = links.union(checkpoint(_confirm(pairs, sets, percent)))
-        left = named.filter("open > 1").select("bucket", "rep", "centre", F.array_append("used", F.col("c")).alias("used"))
-
-    # still open: members outside that were no centres, in more than one component
-    unasked = (F.col("component") != F.col("main")) & ~F.array_contains("used", F.col("rep"))
-    named = _named(left, links).withColumn("open", unasked)
-    several = named.filter("open").select("bucket").distinct()
-    rest = checkpoint(named.select("bucket", "rep", "component", "open").join(several, "bucket", "left_semi"))
+    links, part = _stars(checkpoint(star), sets, percent)
+
+    # buckets of two are settled by their one pair
+    named = member.filter("n > 2").select("bucket", "rep").join(part, "rep", "left")
+    named = named.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("b"))
+    rest = checkpoint(named.join(several.filter("low <> high").select("bucket", "b"), "bucket"))
+    tied = components(rest.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
+    state = checkpoint(rest.select("rep", "component").distinct().join(tied, "rep"))
+
+    used = None
+    for number in range(ROUNDS):
+        marked = _marked(state, used)
+        by = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(number)))
+        chosen = marked.filter("open").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= CENTRES)
+        chosen = checkpoint(chosen.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own")))
+        if chosen.isEmpty():
+            return links
+        # groups that have nothing open are settled
+        state = state.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi")
+        pairs = state.join(small_or_plain(chosen), "bucket").filter("component <> own")
+        pairs = pairs.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
+        new = checkpoint(_confirm(pairs, sets, percent))
+        links = links.union(new)
+        used = chosen.select(F.col("c").alias("rep")).union(used) if used is not None else chosen.select(F.col("c").alias("rep"))
+        # only the components are joined on, not all links again
+        home = state.select("rep", "component")
+        ends = new.join(home.withColumnsRenamed({"rep": "a", "component": "x"}), "a").join(home.withColumnsRenamed({"rep": "b", "component": "y"}), "b")
+        merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        merged = merged.select(F.col("component").alias("_to"), F.col("node").alias("component"))
+        state = state.join(merged, "component", "left").select("bucket", "rep", F.coalesce("_to", "component").alias("component"))
+        state = checkpoint(state)
+    marked = _marked(state, used)
+    rest = checkpoint(marked.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi"))
     return links.union(_blocks(rest, sets, percent))
 
 
-def _named(left: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds to the bucket members their component and that of the bucket's first centre (main)."""
-    part = components(links).withColumnRenamed("node", "rep")
-    named = left.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = named.filter("rep = centre").select("bucket", F.col("component").alias("main"))
-    return named.join(main, "bucket")
+def _stars(star: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the candidate pairs (a, b), and their components (rep, component).
+
+    A member of many buckets has many centres. It is compared with one of them at a time, so that its set is sent
+    once a step; pairs whose ends have come into one component meanwhile need no comparison. After ``STEPS`` steps
+    all pairs that are left are compared at once.
+    """
+    links, part, left = None, None, star
+    for step in range(STEPS + 1):
+        if part is not None:
+            ends = [part.select(F.col("rep").alias(c), F.col("component").alias(f"home_{c}")) for c in ("a", "b")]
+            left = left.join(ends[0], "a", "left").join(ends[1], "b", "left")
+            apart = F.coalesce("home_a", "a") != F.coalesce("home_b", "b")
+            left = checkpoint(left.filter(apart).select("a", "b"))
+            if left.isEmpty():
+                break
+        if step < STEPS:
+            pairs = checkpoint(left.groupBy("a").agg(F.min("b").alias("b")))
+            left = left.join(pairs, ["a", "b"], "left_anti")
+        else:
+            pairs = left
+        new = checkpoint(_confirm(pairs, sets, percent))
+        links = new if links is None else links.union(new)
+        known = new if part is None else new.union(part.select(F.col("rep").alias("a"), F.col("component").alias("b")))
+        part = components(known).withColumnRenamed("node", "rep")
+    return links, part
+
+
+def _marked(state: DataFrame, used: DataFrame | None) -> DataFrame:
+    """Adds to the members of groups whether they are open: outside the largest component, and no centre yet."""
+    sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    marked = state.join(main, "bucket").withColumn("open", F.col("component") != F.col("main"))
+    if used is not None:
+        marked = marked.join(small_or_plain(used.withColumn("_used", F.lit(True))), "rep", "left")
+        marked = marked.withColumn("open", F.col("open") & F.col("_used").isNull())
+    return marked.select("bucket", "rep", "component", "open")
+
+
+def grouped(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row per document: doc_id, n_shingles, d1, d2 (the digest of its set), and ``home``, its group's number.
+
+    Documents without shingles have no group. Groups go by sets, so rows that share a doc_id may be in different ones.
+    """
+    found = checkpoint(sketch(docs, n_bands, rows))
+    digest = ["n_shingles", "d1", "d2"]
+    classes = found.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.withColumn("rep", _class_of()))
+    part = components(links_between(classes, docs, percent))
+    named = classes.select(*digest, "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select(*digest, F.coalesce("component", "rep").alias("home"))
+    return found.drop("bands").join(named, digest, "left")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -223,17 +292,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, ro
     shingle. A repeated doc_id gives a row for each of its rows, all in one group. Other columns are left out; an empty table
     gives no rows.
     """
-    found = checkpoint(sketch(docs, n_bands, rows))
-    digest = ["n_shingles", "d1", "d2"]
-    classes = checkpoint(
-        found.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    )
-    part = components(links_between(classes, docs, percent))
-    named = classes.select(*digest, "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select(*digest, F.coalesce("component", "rep").alias("component"))
+    found = checkpoint(grouped(docs, percent, n_bands, rows))
+    least = found.filter("home is not null").groupBy("home").agg(F.min("doc_id").alias("_least"))
     return (
-        found.join(named, digest, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        found.join(least, "home", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("home").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents with one row of each group of near-duplicates left, all columns as they are.
+
+    The row with the smallest doc_id stays, one without an id only if its group has no other. Each row is judged by
+    its own text: rows that repeat a doc_id with another text are judged apart, and of rows with the same id and
+    the same shingles one stays. Rows without shingles (null and empty texts) are linked with nothing and all stay.
+    An empty table stays empty; columns of any name are kept.
+    """
+    digest = ["n_shingles", "d1", "d2"]
+    found = checkpoint(grouped(docs, percent))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *digest)
+    first = found.filter("home is not null").groupBy("home").agg(F.min(order).alias("_first"))
+    judged = found.join(first, "home", "left").withColumn("_stays", F.col("home").isNull() | order.eqNullSafe(F.col("_first")))
+    # an id that stands for one row decides for it; the few others are looked at by id and shingles
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = checkpoint(rows.filter("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_near_id")))
+    gone = judged.filter("not _stays").select(F.col("doc_id").alias("_near_id")).union(repeated).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id"))
+    plain = docs.join(gone, same, "left_anti")
+    several = docs.join(repeated, same, "left_semi")
+    schema, at = several.schema, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(at).to_pylist()]
+            d1, d2 = zip(*map(_digest, sets)) if sets else ((), ())
+            key = [pa.array(x, pa.int64()) for x in ([len(x) for x in sets], d1, d2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *key], [*batch.schema.names, *(f"_near_{c}" for c in digest)])
+
+    keys = [f"_near_{c}" for c in digest]
+    named = several.mapInArrow(run, T.StructType([*schema.fields, *(T.StructField(k, T.LongType()) for k in keys)]))
+    stay = judged.filter("_stays and home is not null").select(F.col("doc_id").alias("_near_id"), *[F.col(c).alias(f"_near_{c}") for c in digest])
+    row = F.struct(*docs.columns)
+    one = named.filter("_near_n_shingles > 0").groupBy("doc_id", *keys).agg(F.first(row).alias("_near_row"))
+    stay = stay.distinct().withColumnsRenamed({k: f"{k}_" for k in keys})
+    one = one.join(stay, same & reduce(and_, (F.col(k) == F.col(f"{k}_") for k in keys)), "left_semi")
+    bare = named.filter("_near_n_shingles = 0").select(docs.columns)
+    return plain.unionByName(one.select("_near_row.*")).unionByName(bare)

@@ -326,10 +326,45 @@ def test_blocks_find_what_stars_leave_open(spark):
     """A chain of sets in one bucket: neighbours are similar, the centre only to its own neighbours."""
     texts = {i: " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(40)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    classes = spark.createDataFrame([(i, [1]) for i in texts], "rep long, bands array<long>")
+    named = neardup.sketch(docs).selectExpr("doc_id", "xxhash64(n_shingles, d1, d2) AS rep", "array(1L) AS bands").collect()
+    classes = spark.createDataFrame(named, "doc_id long, rep long, bands array<long>")
     links = neardup.links_between(classes, docs, 75)
     got = {r.node: r.component for r in graph.components(links).collect()}
-    assert got == {i: 0 for i in texts}
+    assert got == {r.rep: min(x.rep for x in named) for r in named}
+
+
+def test_open_members_are_sent_about_once(spark, monkeypatch):
+    """Near copies that share many buckets: sets shipped to blocks stay a small multiple of the members, and no link is lost."""
+    random.seed(9)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(300):
+        text = list(base)
+        for _ in range(3):
+            text[random.randrange(60)] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    shipped = []
+    whole = neardup._blocks
+    monkeypatch.setattr(neardup, "_blocks", lambda rest, sets, percent: shipped.append(rest.count()) or whole(rest, sets, percent))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == reference_groups(rows)
+    assert sum(shipped) <= 300
+
+
+NEAR = " ".join(f"n{i}" for i in range(60))
+OTHER_TEXT = " ".join(f"o{i}" for i in range(60))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows are judged by their own text, whatever ids repeat."""
+    rows = [(1, NEAR), (1, NEAR), (None, NEAR), (2, NEAR + " and"), (2, OTHER_TEXT), (None, "alone in the world without any id"), (None, None), (None, None), (3, ""), (3, ""), (4, OTHER_TEXT)]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, kept string, bucket int, rep int, _n int")
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert left == sorted([(1, NEAR), (2, OTHER_TEXT), (None, rows[5][1]), (None, None), (None, None), (3, ""), (3, "")], key=repr)
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+    same = neardup.near_duplicates(docs.filter("doc_id is not null")).collect()
+    assert len(same) == 7 and {(r.doc_id, r.component_id) for r in same} == {(1, 1), (2, 1), (2, 2), (4, 2), (3, 3)}
 
 
 def test_components(spark):
@@ -761,3 +796,33 @@ def test_extract_keeps_rows_and_columns(spark):
     rows = html.extract(pages).collect()
     assert Counter((r.page_id, r.text, r.n_chars) for r in rows) == Counter({(1, "x", 1): 2, (None, "", 0): 1})
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_items_with_repeated_or_no_ids_are_all_matched(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcd"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, None)], "doc_id long, text string")
+    got = decontaminate.matches(docs, items).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == [(0, 1), (1, 1), (2, None)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [3, 9]
+
+
+ARTICLE = "The story goes on for quite a while, with many words and few links. " * 8
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><meta charset=utf-8><body><nav>menu one</nav><article><p>{a}</p></article><footer>foot</footer></body></html>",
+    "<head><script>var x</script><nav>menu</nav><article><p>{a}</p></article><footer>foot</footer>",
+    "<body><article><p>{a}</p><div class='ad-slot'>buy now</div><ins class='adsbygoogle'>x</ins><div class='comment-section'>first!</div></article></body>",
+    "<body><article><p>{a}</p><section id='comments'><p>first!</p></section></article></body>",
+    "<body><div id='gdpr-consent-box'>we use cookies</div><div class='post'><p>{a}</p></div><div id='comments-area'><p>first!</p></div></body>",
+])
+def test_parts_beside_the_article_are_left_out(spark, page):
+    rows = spark.createDataFrame([(1, "u", page.format(a=ARTICLE))], "page_id long, url string, html string")
+    assert html.extract(rows).first().text == ARTICLE.strip()
+
+
+def test_names_that_only_look_alike_stay(spark):
+    page = f"<body><article><h2 id='discussion'>Talk</h2><section id='side-effects'><p>{ARTICLE}</p></section><div class='text-section'><p>End.</p></div></article></body>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html.extract(rows).first().text == f"Talk {ARTICLE.strip()} End."

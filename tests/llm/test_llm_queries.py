@@ -99,3 +99,34 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_whole_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_stages_of_odd_rows_and_empty_tables(spark):
+    """Null, empty and repeated rows, and columns whose names the operators use."""
+    same = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, None), (1, None), (2, ""), (3, same), (3, same), (4, same + " more"), (None, same), (None, "mail me at a.b@example.com today")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, _n int, key string, home int"
+    docs = spark.createDataFrame([(i, t, "en", None, 5, "s", 1, 2, "k", 3) for i, t in rows], schema)
+    left = {"toxicity": 8, "near_duplicates": 5, "decontamination": 8, "pii": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, SMALL), stage(spark, docs.limit(0), SMALL)
+        assert none.count() == 0
+        if name == "packing":
+            assert got.count() == 8
+            continue
+        assert got.columns == none.columns == docs.columns and got.count() == left[name]
+        if name == "near_duplicates":
+            assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([rows[0], rows[0], rows[2], rows[3], rows[7]], key=repr)
+
+
+def test_only_the_last_intermediate_corpus_stays(spark):
+    from pathlib import Path
+
+    from cohort.sizing import shared_folder
+
+    def folders():
+        return {p for run in Path(shared_folder(spark).removeprefix("file:")).glob("pipeline-*") for p in run.iterdir()}
+
+    before = folders()
+    corpus_pipeline.run(spark, SMALL).count()
+    assert [p.name for p in folders() - before] == ["3-pii"]
