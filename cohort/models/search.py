@@ -16,7 +16,7 @@ from ..operators.joins import exclude
 from ..operators.sample import bootstrap, fold_id, sample_exact, sample_stratified, split
 from ..sizing import checkpoint
 from .classify import fit
-from .encoding import WEIGHT, compress, is_text
+from .encoding import WEIGHT, compress, counted, is_text
 from .metrics import binary_metrics
 
 METRICS = ["accuracy", "ppv", "npv", "sensitivity", "specificity"]
@@ -53,7 +53,7 @@ def _counts_per_column(df: DataFrame, label: str, cols: Sequence[str]) -> DataFr
     """Counts per (column, value, label) of all columns in one pass, values as text."""
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
     long = df.select(F.col(label).cast("string").alias("label"), F.inline(F.array(*pairs)))
-    return compress(long, ["column", "value", "label"])
+    return counted(long, ["column", "value", "label"])
 
 
 def screen_columns(
@@ -168,7 +168,7 @@ def tune(
         drawn = bootstrap(train, id_col, seed)
         cv = exclude(train, drawn, id_col)
         train = drawn
-    both = [compress(df, wanted) if compressed else df.select(*wanted) for df in (train, cv)]
+    both = [counted(df, wanted) if compressed else df.select(*wanted) for df in (train, cv)]
     weight = WEIGHT if compressed else None
     with _kept(*both) as (train, cv):
 
@@ -240,11 +240,11 @@ def run_grid(
             train = exclude(part, test, id_col)
         else:
             train, test = split(part, id_col, [round(1 - test_size, 9), test_size], f"{seed}t")
-        with _kept(compress(train, wanted), compress(test, wanted)) as (counted, held):
+        with _kept(counted(train, wanted), counted(test, wanted)) as (few, held):
             rows = []
             for name, params in models.items():
                 whole = name == "rforest" or (name == "nnet" and "decay" not in params)
-                source, weight = (train, None) if whole else (counted, WEIGHT)
+                source, weight = (train, None) if whole else (few, WEIGHT)
                 fitted = fit(source, label, features, name, seed, weight=weight, **params)
                 got = binary_metrics(fitted.predict(held), "predicted", label, positive, weight=WEIGHT).first()
                 rows.append({"share": float(limit), "seed": int(seed), "model": name, **got.asDict()})
