@@ -1,7 +1,7 @@
 """From the tables of two operational systems to one wide, typed row per subject.
 
-Each source is a mapping from table name to DataFrame. Stages are lazy; nothing is written between
-them except the cohort, which several stages need. In every stage records are reduced per subject
+Each source is a mapping from table name to DataFrame. Stages are lazy; the wide table writes the cohort,
+which several stages need, and each stage's reduced rows before it joins them. In every stage records are reduced per subject
 by aggregates that combine before the shuffle, and only then joined, so a subject or a source with a
 large share of the records does not land in one task. Records are made distinct only where copies
 would count. All joins are on the subject key and share one partitioning, except the practitioner
@@ -372,7 +372,8 @@ def wide_table(
         baseline_treatment(a, b),
         treatment_outcome(a, b),
     ]
-    screened, *rest = map(guard, stages)
+    # Fused into one task, the sorts and aggregates of all stages would hold memory at the same time.
+    screened, *rest = [guard(checkpoint(stage)) for stage in stages]
     joined = op.assemble(op.inner(cohort, screened.drop("EncounterID"), "PatientID"), rest, "PatientID")
     joined = op.replace_ids(joined, "PatientID", op.surrogate_ids(cohort, "PatientID", salt=salt))
     dim = practitioners(a, b).withColumnsRenamed({"Qualification": "GPQualification", "Speciality": "GPSpeciality"})
