@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from fractions import Fraction
 from itertools import product
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.joins import exclude
-from ..operators.sample import bootstrap, fold_id, sample_exact, sample_stratified, split
+from ..operators.sample import bootstrap, cuts_of_parts, exact_part, fold_id, order_hash, sample_stratified
 from ..sizing import checkpoint
 from .classify import fit
 from .encoding import WEIGHT, compress, counted, is_text
@@ -31,6 +32,11 @@ def _scores(train, test, label, features, name, seed, positive, compressed, para
     return row.asDict()
 
 
+def _on_rows(name: str, params: Mapping) -> bool:
+    """Whether a model is fitted on rows: a forest, which draws them by their place, and nets without ``decay``."""
+    return name == "rforest" or (name == "nnet" and "decay" not in params)
+
+
 @contextmanager
 def _kept(*dfs: DataFrame):
     """Hold DataFrames in memory and on disk for the length of a loop."""
@@ -193,12 +199,18 @@ def cross_validate(
     parallelism: int = 2,
     **params,
 ) -> DataFrame:
-    """k-fold cross-validation: one row of metrics per fold."""
-    with _kept(fold_id(df, id_col, k, seed, out="__fold").select(label, *features, "__fold")) as (folded,):
+    """k-fold cross-validation: one row of metrics per fold.
+
+    Models with weights are fitted on the counts of the distinct combinations per fold.
+    """
+    folded = fold_id(df, id_col, k, seed, out="__fold").select(label, *features, "__fold")
+    weight = None if _on_rows(name, params) else WEIGHT
+    with _kept(counted(folded, folded.columns) if weight else folded) as (folded,):
 
         def run(i: int) -> dict:
             rest, held = folded.filter(F.col("__fold") != i), folded.filter(F.col("__fold") == i)
-            return {"model": name, "fold": i, **_scores(rest, held, label, features, name, seed, positive, False, params)}
+            got = _scores(rest, held, label, features, name, seed, positive, False, params, weight)
+            return {"model": name, "fold": i, **got}
 
         rows = _in_parallel(list(range(k)), run, parallelism)
     return _table(df.sparkSession, rows, "model string, fold int")
@@ -223,32 +235,62 @@ def run_grid(
 ) -> DataFrame:
     """Experiment grid over sample share, seed and model: tidy rows of metrics.
 
-    The test rows are drawn at random, or per stratum when ``strata`` is given. The rows are written once; each
-    share and seed reads them to count the distinct combinations of its training and test rows, and its models
-    differ by these counts alone. Models without weights (a forest, nets without ``decay``) are fitted on the rows.
+    The test rows are drawn at random, or per stratum when ``strata`` is given. The rows are written once; the
+    cuts of all shares and seeds are found together, and the distinct combinations of training and test rows are
+    counted (without ``strata`` for all shares and seeds in one pass); the models differ by these counts alone. Models without weights (a forest, nets without ``decay``) are fitted on the rows.
     A few shares and seeds run side by side.
     """
     models = models if isinstance(models, Mapping) else {m: GRID_MODELS.get(m, {}) for m in models}
     wanted = [label, *features]
     kept = checkpoint(df.select(id_col, *dict.fromkeys([*wanted, *(strata or [])])))
 
+    cells = list(product(limits, seeds))
+    shares = [(limit, seed) for limit, seed in cells if limit != 1]
+    drawn = cuts_of_parts(kept, id_col, [(None, str(seed), lambda n, f=limit: exact_part(n, f)) for limit, seed in shares])
+    within = {at: (str(at[1]), cut) for at, cut in zip(shares, drawn)}
+
+    def part(at: tuple[float, int]) -> DataFrame:
+        return kept.filter(order_hash(id_col, at[1]) <= within[at][1]) if at in within else kept
+
+    if not strata:
+        parts = [(within.get(at), f"{at[1]}t", lambda n: int(n * (1 - Fraction(str(round(1 - test_size, 9)))))) for at in cells]
+        held_up_to = dict(zip(cells, cuts_of_parts(kept, id_col, parts)))
+
+        def is_held(at: tuple[float, int]) -> Column:
+            return F.coalesce(order_hash(id_col, f"{at[1]}t") <= held_up_to[at], F.lit(False))
+
+        # one pass counts the combinations of all shares and seeds
+        hashes = {f"__h{s}": order_hash(id_col, s) for s in dict.fromkeys([*seeds, *(f"{s}t" for s in seeds)])}
+        marks = [
+            F.struct(
+                F.lit(i).alias("__cell"),
+                (F.col(f"__h{at[1]}") <= within[at][1] if at in within else F.lit(True)).alias("__in"),
+                F.coalesce(F.col(f"__h{at[1]}t") <= held_up_to[at], F.lit(False)).alias("__held"),
+            )
+            for i, at in enumerate(cells)
+        ]
+        dealt = kept.withColumns(hashes).select(*dict.fromkeys(wanted), F.inline(F.array(*marks))).filter("__in")
+        every = counted(dealt, [*dict.fromkeys(wanted), "__cell", "__held"])
+
     def cell(at: tuple[float, int]) -> list[dict]:
         limit, seed = at
-        part = kept if limit == 1 else sample_exact(kept, id_col, limit, seed)
         if strata:
-            test = sample_stratified(part, id_col, strata, test_size, f"{seed}t")
-            train = exclude(part, test, id_col)
+            rows_here = part(at)
+            test = sample_stratified(rows_here, id_col, strata, test_size, f"{seed}t")
+            train = checkpoint(exclude(rows_here, test, id_col))  # read for the counts and by models on rows
+            both = [counted(train, wanted), counted(test, wanted)]
         else:
-            train, test = split(part, id_col, [round(1 - test_size, 9), test_size], f"{seed}t")
-        with _kept(counted(train, wanted), counted(test, wanted)) as (few, held):
+            train = part(at).filter(~is_held(at))
+            here = every.filter(F.col("__cell") == cells.index(at))
+            both = [here.filter(test).select(*wanted, WEIGHT) for test in (~F.col("__held"), F.col("__held"))]
+        with _kept(*both) as (few, held):
             rows = []
             for name, params in models.items():
-                whole = name == "rforest" or (name == "nnet" and "decay" not in params)
-                source, weight = (train, None) if whole else (few, WEIGHT)
+                source, weight = (train, None) if _on_rows(name, params) else (few, WEIGHT)
                 fitted = fit(source, label, features, name, seed, weight=weight, **params)
                 got = binary_metrics(fitted.predict(held), "predicted", label, positive, weight=WEIGHT).first()
                 rows.append({"share": float(limit), "seed": int(seed), "model": name, **got.asDict()})
         return rows
 
-    found = _in_parallel(list(product(limits, seeds)), cell, parallelism)
+    found = _in_parallel(cells, cell, parallelism)
     return _table(df.sparkSession, [r for rows in found for r in rows], "share double, seed int, model string")

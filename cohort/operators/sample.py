@@ -66,6 +66,58 @@ def _cuts(df: DataFrame, id_col: str, seed, sizes, fetch: int = _FETCH) -> tuple
     return total, cuts
 
 
+def cuts_of_parts(df: DataFrame, id_col: str, parts: Sequence[tuple], fetch: int = _FETCH) -> list[str]:
+    """Digest cuts of many parts of the same rows, a pass over them per round for all parts together.
+
+    A part is ``(within, seed, size)``: the rows up to the cut of another digest, given as ``(seed, cut)``, or all
+    if None; ``size`` gives from their number how many of them lie up to the cut looked for.
+    """
+    seeds = list(dict.fromkeys(s for within, seed, _ in parts for s in (seed, *([within[0]] if within else []))))
+    at = {s: f"__h{i}" for i, s in enumerate(seeds)}
+    hashed = df.select(*[order_hash(id_col, s).alias(h) for s, h in at.items()])
+
+    def counts(wanted: dict[int, str], length: int | None) -> dict[int, list[tuple]]:
+        cells = []
+        for i, prefix in wanted.items():
+            within, seed, _ = parts[i]
+            test = F.col(at[within[0]]) <= within[1] if within else F.lit(True)
+            test = test & F.col(at[seed]).startswith(prefix) if prefix else test
+            cells.append(F.struct(F.lit(i).alias("i"), test.alias("here"), F.col(at[seed]).alias("h")))
+        rows = hashed.select(F.inline(F.array(*cells))).filter("here")
+        step = F.substring("h", 1, length) if length else F.col("h")
+        found: dict[int, list[tuple]] = {i: [] for i in wanted}
+        for i, p, n in rows.groupBy("i", step.alias("p")).count().collect():
+            found[i].append((p, n))
+        return {i: sorted(f) for i, f in found.items()}
+
+    cuts, left, prefixes, length = [""] * len(parts), {}, dict.fromkeys(range(len(parts)), ""), _DIGITS
+    fine: dict[int, str] = {}
+    while prefixes:
+        found = counts(prefixes, length)
+        for i, steps in found.items():
+            if i not in left:
+                left[i] = parts[i][2](sum(n for _, n in steps))
+                if left[i] <= 0:
+                    del prefixes[i]
+                    continue
+            for p, n in steps:
+                if left[i] <= n:
+                    break
+                left[i] -= n
+            prefixes[i] = p
+            if n <= fetch or length >= 32:
+                fine[i] = prefixes.pop(i)
+        length += _DIGITS
+    if fine:
+        for i, steps in counts(fine, None).items():
+            for cut, n in steps:
+                if left[i] <= n:
+                    break
+                left[i] -= n
+            cuts[i] = cut
+    return cuts
+
+
 def sample_exact(df: DataFrame, id_col: str, fraction, seed) -> DataFrame:
     """Simple random sample without replacement of exactly ``floor(n * fraction)`` rows."""
     _, (cut,) = _cuts(df, id_col, seed, lambda n: [exact_part(n, fraction)])
