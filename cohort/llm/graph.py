@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohort.sizing import checkpoint
 
+#: Up to so many links left over by the partitions, one task ends them; more go through the rounds.
+FEW = 200_000
+
 
 def _forest(links: DataFrame) -> DataFrame:
     """Union-find inside each partition: its links become (node, smallest node reached)."""
@@ -38,14 +41,19 @@ def _forest(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is its smallest node.
 
-    Union-find inside each partition shortens the list first; then large-star and small-star rounds alternate
-    until nothing changes, each a minimum per node and a join on it. A node with very many links is only ever
-    the key of a minimum, or of a join whose other side has one row a key. Each round is cut with a
-    reliable checkpoint. Null and self links are ignored.
+    Union-find inside each partition shortens the list first. What that leaves is ended by one more task if it is
+    no more than ``FEW`` links; else large-star and small-star rounds alternate until nothing changes, each a
+    minimum per node and a join on it. A node with very many links is only ever the key of a minimum, or of a join
+    whose other side has one row a key. Each round is cut with a reliable checkpoint. Null and self links are ignored.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     edges = checkpoint(_forest(links).distinct())
-    while True:
+    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
+    before = edges.agg(*digest).first()
+    few = before[0] <= FEW
+    if few:
+        edges = checkpoint(_forest(edges.coalesce(1)))
+    while not few:
         # large star: every larger neighbour goes to the smallest of the neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -61,11 +69,11 @@ def components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        after = checkpoint(small)
-        digest = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
-        if edges.agg(*digest).first() == after.agg(*digest).first():
+        edges = checkpoint(small)
+        after = edges.agg(*digest).first()
+        if after == before:
             break
-        edges = after
+        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -112,7 +112,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with enough in common, on their full sets."""
+    """Of the pairs (a, b), those with enough in common, on their full sets; other columns are kept."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -121,7 +121,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(right, "b")
         .withColumn("_i", shared)
         .filter(F.lit(100) * F.col("_i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("_i")))
-        .select("a", "b")
+        .select(*pairs.columns)
     )
 
 
@@ -195,44 +195,55 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("b"))
     rest = checkpoint(named.join(several.filter("low <> high").select("bucket", "b"), "bucket"))
     tied = components(rest.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
-    state = checkpoint(rest.select("rep", "component").distinct().join(tied, "rep"))
+    state = rest.select("rep", "component").distinct().join(tied, "rep").withColumn("used", F.lit(False))
 
-    used = None
     for number in range(ROUNDS):
-        marked = _marked(state, used)
+        state = checkpoint(_marked(state))
         by = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(number)))
-        chosen = marked.filter("open").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= CENTRES)
-        chosen = checkpoint(chosen.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own")))
+        chosen = state.filter("open").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= CENTRES)
+        chosen = checkpoint(chosen.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own"), F.expr("shiftleft(1, _n - 1)").alias("bit")))
         if chosen.isEmpty():
             return links
-        # groups that have nothing open are settled
-        state = state.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi")
-        pairs = state.join(small_or_plain(chosen), "bucket").filter("component <> own")
-        pairs = pairs.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
+        few = small_or_plain(chosen)
+        pairs = state.join(few, "bucket").filter("component <> own").select(F.col("rep").alias("a"), F.col("c").alias("b"), "bucket", "component", "bit")
         new = checkpoint(_confirm(pairs, sets, percent))
-        links = links.union(new)
-        used = chosen.select(F.col("c").alias("rep")).union(used) if used is not None else chosen.select(F.col("c").alias("rep"))
-        # only the components are joined on, not all links again
-        home = state.select("rep", "component")
-        ends = new.join(home.withColumnsRenamed({"rep": "a", "component": "x"}), "a").join(home.withColumnsRenamed({"rep": "b", "component": "y"}), "b")
-        merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        merged = merged.select(F.col("component").alias("_to"), F.col("node").alias("component"))
-        state = state.join(merged, "component", "left").select("bucket", "rep", F.coalesce("_to", "component").alias("component"))
-        state = checkpoint(state)
-    marked = _marked(state, used)
+        links = links.union(new.select("a", "b"))
+        # groups that have nothing open are settled
+        state = state.join(few.select("bucket"), "bucket", "left_semi")
+        state = state.join(few.select(F.col("c").alias("rep"), F.lit(True).alias("_used")), "rep", "left")
+        state = state.join(_merged(new, chosen), ["bucket", "component"], "left")
+        state = state.select("bucket", "rep", F.coalesce("_to", "component").alias("component"), (F.col("used") | F.col("_used").isNotNull()).alias("used"))
+    marked = checkpoint(_marked(state))
     rest = checkpoint(marked.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi"))
-    return links.union(_blocks(rest, sets, percent))
+    return links.union(_blocks(rest.select("bucket", "rep", "component", "open"), sets, percent))
 
 
-def _marked(state: DataFrame, used: DataFrame | None) -> DataFrame:
-    """Adds to the members of groups whether they are open: outside the largest component, and no centre yet."""
+def _merged(new: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What the links of a round make one in each group: (bucket, component, _to).
+
+    A group has few centres, so a component's links there are a handful of bits, one a centre, and a group has few
+    different masks of them. Centres that a mask has in common belong together, and so on; the least component of
+    such centres' own names all that touch them.
+    """
+    own = chosen.select("bucket", F.col("own").alias("component"), "bit", F.col("bit").alias("mine"))
+    met = new.select("bucket", "component", "bit", F.lit(0).alias("mine")).union(own)
+    masks = met.groupBy("bucket", "component").agg(F.bit_or("bit").alias("mask"), F.bit_or("mine").alias("mine"))
+    home = F.when(F.col("mine") != 0, F.struct("mine", "component"))
+    groups = masks.groupBy("bucket").agg(F.collect_set("mask").alias("masks"), F.collect_set(home).alias("homes"))
+    whole = F.col("mask")
+    for _ in range(CENTRES):
+        whole = F.aggregate("masks", whole, lambda have, m: F.when(have.bitwiseAND(m) != 0, have.bitwiseOR(m)).otherwise(have))
+    named = masks.select("bucket", "component", "mask").join(groups, "bucket").withColumn("whole", whole)
+    homes = F.filter("homes", lambda h: h["mine"].bitwiseAND(F.col("whole")) != 0)
+    return named.select("bucket", "component", F.array_min(F.transform(homes, lambda h: h["component"])).alias("_to"))
+
+
+def _marked(state: DataFrame) -> DataFrame:
+    """Marks the members of groups as open or not: outside the largest component, and no centre yet."""
     sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    marked = state.join(main, "bucket").withColumn("open", F.col("component") != F.col("main"))
-    if used is not None:
-        marked = marked.join(small_or_plain(used.withColumn("_used", F.lit(True))), "rep", "left")
-        marked = marked.withColumn("open", F.col("open") & F.col("_used").isNull())
-    return marked.select("bucket", "rep", "component", "open")
+    marked = state.select("bucket", "rep", "component", "used").join(main, "bucket")
+    return marked.withColumn("open", (F.col("component") != F.col("main")) & ~F.col("used")).drop("main")
 
 
 def grouped(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:

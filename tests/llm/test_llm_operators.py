@@ -387,6 +387,35 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_more_links_than_one_task_ends(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3)]
+    monkeypatch.setattr(graph, "FEW", 5)
+    got = graph.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)}
+
+
+def test_centres_that_members_have_in_common_are_merged(spark):
+    chosen = spark.createDataFrame([(1, 10, 10, 1), (1, 20, 20, 2), (1, 30, 30, 4), (1, 40, 40, 8), (2, 50, 50, 1)], "bucket long, c long, own long, bit int")
+    links = [(0, 10, 1, 5, 1), (0, 20, 1, 5, 2), (0, 20, 1, 6, 2), (0, 30, 1, 6, 4), (0, 40, 1, 7, 8), (0, 50, 2, 5, 1)]
+    new = spark.createDataFrame(links, "a long, b long, bucket long, component long, bit int")
+    got = {(r.bucket, r.component): r["_to"] for r in neardup._merged(new, chosen).collect()}
+    assert got == {(1, c): 10 for c in (5, 6, 10, 20, 30)} | {(1, 7): 40, (1, 40): 40, (2, 5): 50, (2, 50): 50}
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    """Each job leaves plans and code in the driver: joining the parts of small graphs takes one task, not rounds."""
+    chain = {i: " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(40)}
+    docs = spark.createDataFrame(list(chain.items()), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "")
+    try:
+        got = neardup.near_duplicates(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert {r.component_id for r in got} == {0}
+    assert jobs <= 60, jobs
+
+
 # ---- 5 decontamination
 
 
