@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.sizing import checkpoint
+from cohort.sizing import checkpoint_in_few
 
 #: Up to so many links left over by the partitions, one task ends them; more go through the rounds.
 FEW = 200_000
@@ -47,12 +47,12 @@ def components(links: DataFrame) -> DataFrame:
     whose other side has one row a key. Each round is cut with a reliable checkpoint. Null and self links are ignored.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    edges = checkpoint(_forest(links).distinct())
+    edges = checkpoint_in_few(_forest(links), 50_000)
     digest = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
     before = edges.agg(*digest).first()
     few = before[0] <= FEW
     if few:
-        edges = checkpoint(_forest(edges.coalesce(1)))
+        edges = checkpoint_in_few(_forest(edges.coalesce(1)), FEW)
     while not few:
         # large star: every larger neighbour goes to the smallest of the neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = checkpoint(small)
+        edges = checkpoint_in_few(small, 50_000)
         after = edges.agg(*digest).first()
         if after == before:
             break

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohort.llm.graph import components
 from cohort.llm.textops import U64, mix, release, shingle_set
-from cohort.sizing import checkpoint, small_or_plain
+from cohort.sizing import checkpoint, checkpoint_in_few, small_or_plain
 
 BANDS, ROWS = 32, 4
 #: Rounds in which so many open members of a group become centres of a star, before the rest is compared in blocks.
@@ -180,41 +180,41 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     """
     member = classes.select(F.explode("bands").alias("bucket"), "rep")
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
-    member = checkpoint(member.join(size, "bucket"))
+    member = checkpoint_in_few(member.join(size, "bucket"), 50_000)
     involved = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     sets = docs.select("doc_id", "text").join(involved, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = checkpoint(_sets(sets).join(member.select("rep").distinct(), "rep", "left_semi"))
+    sets = checkpoint_in_few(_sets(sets).join(member.select("rep").distinct(), "rep", "left_semi"), 2_000)
 
     star = member.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = checkpoint(_confirm(star, sets, percent))
+    links = checkpoint_in_few(_confirm(star, sets, percent))
 
     # buckets of two are settled by their one pair
     part = components(links).withColumnRenamed("node", "rep")
     named = member.filter("n > 2").select("bucket", "rep").join(part, "rep", "left")
     named = named.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("b"))
-    rest = checkpoint(named.join(several.filter("low <> high").select("bucket", "b"), "bucket"))
+    rest = checkpoint_in_few(named.join(several.filter("low <> high").select("bucket", "b"), "bucket"))
     tied = components(rest.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
     state = rest.select("rep", "component").distinct().join(tied, "rep").withColumn("used", F.lit(False))
 
     for number in range(ROUNDS):
-        state = checkpoint(_marked(state))
+        state = checkpoint_in_few(_marked(state))
         by = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(number)))
         chosen = state.filter("open").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= CENTRES)
-        chosen = checkpoint(chosen.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own"), F.expr("shiftleft(1, _n - 1)").alias("bit")))
+        chosen = checkpoint_in_few(chosen.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own"), F.expr("shiftleft(1, _n - 1)").alias("bit")))
         if chosen.isEmpty():
             return links
         few = small_or_plain(chosen)
         pairs = state.join(few, "bucket").filter("component <> own").select(F.col("rep").alias("a"), F.col("c").alias("b"), "bucket", "component", "bit")
-        new = checkpoint(_confirm(pairs, sets, percent))
+        new = checkpoint_in_few(_confirm(pairs, sets, percent))
         links = links.union(new.select("a", "b"))
         # groups that have nothing open are settled
         state = state.join(few.select("bucket"), "bucket", "left_semi")
         state = state.join(few.select(F.col("c").alias("rep"), F.lit(True).alias("_used")), "rep", "left")
         state = state.join(_merged(new, chosen), ["bucket", "component"], "left")
         state = state.select("bucket", "rep", F.coalesce("_to", "component").alias("component"), (F.col("used") | F.col("_used").isNotNull()).alias("used"))
-    marked = checkpoint(_marked(state))
-    rest = checkpoint(marked.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi"))
+    marked = checkpoint_in_few(_marked(state))
+    rest = checkpoint_in_few(marked.join(marked.filter("open").select("bucket").distinct(), "bucket", "left_semi"))
     return links.union(_blocks(rest.select("bucket", "rep", "component", "open"), sets, percent))
 
 
@@ -254,7 +254,7 @@ def grouped(docs: DataFrame, percent: int = 75, n_bands: int = BANDS, rows: int
     found = checkpoint(sketch(docs, n_bands, rows))
     digest = ["n_shingles", "d1", "d2"]
     classes = found.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    classes = checkpoint(classes.withColumn("rep", _class_of()))
+    classes = checkpoint_in_few(classes.withColumn("rep", _class_of()))
     part = components(links_between(classes, docs, percent))
     named = classes.select(*digest, "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(*digest, F.coalesce("component", "rep").alias("home"))

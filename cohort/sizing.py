@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_ROWS = 10_000
 
@@ -48,6 +48,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_in_few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``checkpoint``, read again by a task for every ``rows`` rows, whose shuffle files go once it is written.
+
+    For chains of many small steps: else each step reads as many tasks as the shuffles and skewed joins before it
+    made, and the files of all steps stay until the driver happens to collect its garbage. Not for use in threads,
+    as the setting is the session's.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    seen = Observation()
+    conf.set(name, "true")
+    try:
+        kept = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    finally:
+        conf.set(name, before)
+    return kept.coalesce(max(1, -(-seen.get["n"] // rows)))
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table written out in code (value maps, dictionaries, metrics)."""
     return spark.createDataFrame(rows, schema=schema)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from cohort import sizing
 from cohort.llm import (
     decontaminate,
     graph,
@@ -402,6 +403,44 @@ def test_centres_that_members_have_in_common_are_merged(spark):
     assert got == {(1, c): 10 for c in (5, 6, 10, 20, 30)} | {(1, 7): 40, (1, 40): 40, (2, 5): 50, (2, 50): 50}
 
 
+def test_small_steps_of_near_duplicates_take_few_tasks(spark):
+    """A step reads as many tasks as its rows need, however many partitions the shuffles before it had."""
+    random.seed(4)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(80):
+        text = list(base)
+        for _ in range(3):
+            text[random.randrange(60)] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("near-tasks", "")
+        got = neardup.near_duplicates(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 80
+    stages = {s for j in tracker.getJobIdsForGroup("near-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(found.numTasks for found in map(tracker.getStageInfo, stages) if found and found.numCompletedTasks)
+    assert tasks < 3000, tasks
+
+
+def test_checkpoints_in_few_tasks_keep_rows_and_settings(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    kept = sizing.checkpoint_in_few(spark.range(1000).repartition(50), 300)
+    assert kept.rdd.getNumPartitions() == 4 and sorted(r.id for r in kept.collect()) == list(range(1000))
+    assert spark.conf.get(name, "false") == before
+    empty = sizing.checkpoint_in_few(spark.range(0), 300)
+    assert empty.count() == 0 and empty.rdd.getNumPartitions() <= 1
+
+
 def test_near_duplicates_take_few_jobs(spark):
     """Each job leaves plans and code in the driver: joining the parts of small graphs takes one task, not rounds."""
     chain = {i: " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(40)}
