@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,20 +26,25 @@ BLOCK_BYTES = 3_000_000
 
 #: Characters whose lower case depends on others, and marks that join the character before them.
 CONTEXTUAL = r"[\x{0130}\x{03a3}\x{0300}-\x{036f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}]|<\|"
+#: Small letters that the tokenizer keeps as they are.
+SMALL = "a-zß-öø-ÿ"
+#: A small letter and the sign or digit after it, which the tokenizer splits from it.
+LETTER_END = f"([{SMALL}])([!-@\\[-`{{-~])"
 
 
 class WordIds:
     """Token ids of texts by way of their blank-separated words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its
-    words in turn; and it splits letters from points and commas, so those at the end of a word are looked up
-    apart. Words are kept once they are known, up to ``limit`` words; then all are dropped.
+    words in turn; and it splits letters from signs and digits, so a blank between them changes nothing and
+    makes for fewer words. Words are kept once they are known, up to ``limit`` words; then all are dropped.
     """
 
     MARK = "|"
 
     def __init__(self, path: str | None, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         if path is None:
             import public_tokenizers
@@ -46,65 +53,46 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         (self.mark,) = self._ids(self.MARK)
+        self.small = re.compile(f"[{SMALL}]+")
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = {i: spell(chr(i))[0][0] for i in range(128, 256) if self.small.fullmatch(chr(i))}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.ends = {e: ids[0] for e in (".", ",") if len(ids := self._ids(e)) == 1}
-        self._learn([""])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Add new words: those without the mark are encoded together, a thousand at a time, with marks between."""
-        plain = [w for w in words if self.MARK not in w]
-        odd = [w for w in words if self.MARK in w]
-        pools, begins, lengths, base = [self.pool], [self.begin], [self.length], len(self.pool)
-        blocks = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        order = []
-        for block in blocks:
+    def _learn(self, words: pa.Array) -> None:
+        """Add new words: those of small letters alone go to the tokenizer's model, which gets others in its parts.
+
+        Of the others, those without the mark are encoded together, a thousand at a time, with marks between.
+        """
+        tokenize, small, spelt = self.tokenizer.model.tokenize, self.small.fullmatch, self.spelt
+        ids, plain, odd = {}, [], []
+        for word in words.to_pylist():
+            if small(word):
+                ids[word] = [t.id for t in tokenize(word if word.isascii() else word.translate(spelt))]
+            else:
+                ids[word] = []  # keeps the order
+                (odd if self.MARK in word else plain).append(word)
+        for block in (plain[i : i + 1000] for i in range(0, len(plain), 1000)):
             text = f" {self.MARK} ".join(block)
             (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            at = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(at) != len(block):  # a special token's text, or another sign that becomes the mark
+            got = got.ids
+            at = [-1, *(i for i, x in enumerate(got) if x == self.mark), len(got)]
+            if len(at) != len(block) + 1:  # a special token's text, or another sign that becomes the mark
                 odd += block
-                continue
-            start = np.append(0, at[:-1] + 1)
-            pools.append(ids)
-            begins.append(base + start)
-            lengths.append(at - start)
-            base += len(ids)
-            order += block
-        for word in odd:
-            ids = np.array(self._ids(word), np.uint32)
-            pools.append(ids)
-            begins.append(np.array([base]))
-            lengths.append(np.array([len(ids)]))
-            base += len(ids)
-        first = len(self.begin)
-        self.pool, self.begin, self.length = np.concatenate(pools), np.concatenate(begins), np.concatenate(lengths)
-        self.known.update(zip(order + odd, range(first, first + len(order) + len(odd))))
-
-    def _learn_all(self, words: list[str]) -> None:
-        stems = [w[:-1] if w[-1] in self.ends and w[-2:-1].isalpha() and w[-2] != "\u0130" else w for w in words]
-        missing = list({s for s in stems if s not in self.known})
-        if missing:
-            self._learn(missing)
-        both = [(w, s) for w, s in zip(words, stems) if w is not s]
-        if both:  # the stem's ids and the one of the sign after it
-            at = np.array([self.known[s] for _, s in both])
-            begin, size = self.begin[at], self.length[at] + 1
-            stop = np.cumsum(size)
-            ids = self.pool[np.minimum(np.arange(stop[-1]) + np.repeat(begin - (stop - size), size), len(self.pool) - 1)]
-            ids[stop - 1] = [self.ends[w[-1]] for w, _ in both]
-            first = len(self.begin)
-            self.begin = np.append(self.begin, len(self.pool) + stop - size)
-            self.length = np.append(self.length, size)
-            self.pool = np.append(self.pool, ids)
-            self.known.update((w, first + i) for i, (w, _) in enumerate(both))
+            else:
+                ids.update((w, got[a + 1 : b]) for w, a, b in zip(block, at, at[1:]))
+        ids.update((w, self._ids(w)) for w in odd)
+        length = np.fromiter(map(len, ids.values()), np.int64, len(ids))
+        pool = np.fromiter(chain.from_iterable(ids.values()), np.uint32, int(length.sum()))
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(length) - length)
+        self.length, self.pool = np.append(self.length, length), np.append(self.pool, pool)
+        self.known = pa.concat_arrays([self.known, words])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         ids, lengths = self.flat(texts)
@@ -116,14 +104,15 @@ class WordIds:
             self._clear()
         # lower case first means fewer words; it is the tokenizer's own, but for signs that look to their neighbours
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lowered = pc.if_else(pc.match_substring_regex(texts, CONTEXTUAL), texts, pc.utf8_lower(texts))
+        lowered = pc.replace_substring_regex(pc.utf8_lower(texts), LETTER_END, r"\1 \2")
+        lowered = pc.if_else(pc.match_substring_regex(texts, CONTEXTUAL), texts, lowered)
         split = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        unique = words.dictionary.to_pylist()
-        new = [w for w in unique if w not in self.known]
-        if new:
-            self._learn_all(new)
-        entry = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        entry = pc.index_in(words.dictionary, value_set=self.known)
+        new = words.dictionary.filter(entry.is_null())
+        entry = entry.fill_null(-1).to_numpy().astype(np.int64)
+        entry[entry < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self._learn(new)
         at = entry[words.indices.to_numpy()]
         n = self.length[at]
         ends = np.cumsum(n)

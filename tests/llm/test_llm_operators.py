@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -212,6 +213,36 @@ def test_ids_by_words_are_those_of_whole_texts():
             assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_ids_by_words_with_signs_and_digits_after_letters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode = packing.WordIds(None)
+    random.seed(6)
+    signs = [chr(i) for i in [*range(32, 127), *range(160, 256)]] + list("abcdeßéöÿ" * 12) + list(" \u0301ΣİЖ漢")
+    texts = ["".join(random.choice(signs) for _ in range(random.randrange(60))) for _ in range(3000)]
+    texts += ["a.Σ a.b's don't it'll x'r we've", "a<|endoftext|>b a<|b", "one.two,three 4five6 ok!!! ok?!", "ÀÉ é.É ﬁ.a", "w" * 5000]
+    for at in range(0, len(texts), 500):
+        block = texts[at : at + 500]
+        for text, ids in zip(block, encode(pa.array(block, pa.string()))):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_word_is_learned_once_whatever_follows_it():
+    encode = packing.WordIds(None)
+    encode(pa.array(["word Word, word. größe größe! word!!! word?\nword7 word's größe;"]))
+    assert len(encode.known) == len(["word", "größe", ",", ".", "!", "!!!", "?", "7", "'s", ";"])
+
+
+def test_words_of_small_letters_go_to_the_model_alone():
+    text = "Seven größere words"
+    encode = packing.WordIds(None)
+    whole = encode.tokenizer
+    encode.tokenizer = types.SimpleNamespace(model=whole.model)
+    assert encode(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_places_every_piece_once(odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
