@@ -11,15 +11,17 @@ from contextlib import contextmanager
 from fractions import Fraction
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.joins import exclude
-from ..operators.sample import bootstrap, cuts_of_parts, exact_part, fold_id, order_hash, sample_stratified
-from ..sizing import checkpoint
-from .classify import fit
+from ..operators.sample import bootstrap, cuts_of_parts, exact_part, fold_id, order_hash, stratum_ends, stratum_texts
+from ..sizing import checkpoint, small_or_plain
+from .classify import counts_suffice, fit, on_counts
 from .encoding import WEIGHT, compress, counted, is_text
 from .metrics import binary_metrics
 
+DIGITS = 3  # of the digest prefixes a grid's test rows are counted by
+NEAR = 1 / 16  # how far from its likely place a cut is looked for first
 METRICS = ["accuracy", "ppv", "npv", "sensitivity", "specificity"]
 
 
@@ -216,6 +218,84 @@ def cross_validate(
     return _table(df.sparkSession, rows, "model string, fold int")
 
 
+def _count_stratified(
+    hashed: DataFrame, id_col: str, wanted: list[str], names: list[str], cells: list[tuple], inside, drawn_by, test_size
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training and test rows of all cells of a grid, counted, in two passes over the rows for all cells together.
+
+    ``hashed`` holds the strata ``names`` and the digests that ``inside`` (whether a row lies in a cell's share) and
+    ``drawn_by`` (the digest its test rows are drawn by) name. The first pass counts prefixes of the latter. The second
+    counts the combinations below and above the prefixes in which the strata's cuts lie, and keeps digest and id of
+    the few rows between: these settle the cuts, and which ids are drawn in one stratum and left in another.
+
+    Gives ``(*wanted, __cell, __held, __weight)``, the cuts ``(__cell, *names, __cut)``, and the ids in no training row
+    ``(__cell, __id)``.
+    """
+    seeds, limits = list(dict.fromkeys(s for _, s in cells)), sorted({limit for limit, _ in cells})
+    keys = ["__cell", *names]
+
+    def by_seed(more) -> list[Column]:
+        """Per seed, the first share that holds the row: it lies in all larger ones too."""
+        held_by = {s: F.coalesce(*[F.when(inside((limit, s)), F.lit(k)) for k, limit in enumerate(limits)]) for s in seeds}
+        return F.inline(F.array(*[F.struct(F.lit(j).alias("__seed"), held_by[s].alias("__share"), *more(j, s)) for j, s in enumerate(seeds)]))
+
+    def by_cell(df: DataFrame) -> DataFrame:
+        """Rows per seed and first share dealt to the cells."""
+        marks = [
+            F.struct(F.lit(i).alias("__cell"), ((F.col("__seed") == seeds.index(s)) & (F.col("__share") <= limits.index(limit))).alias("__in"))
+            for i, (limit, s) in enumerate(cells)
+        ]
+        return df.select(*df.columns, F.inline(F.array(*marks))).filter("__in").drop("__in", "__seed", "__share")
+
+    def prefix(h: Column) -> Column:
+        return F.substring(h, 1, DIGITS)
+
+    near = [f"{min(max(int((float(test_size) + d) * 16**DIGITS), 0), 16**DIGITS - 1):0{DIGITS}x}" for d in (-NEAR, NEAR)]
+
+    def close(p: Column) -> Column:
+        """Prefixes far from where a cut is likely count together: few counts are added up faster than many."""
+        return F.when(p < near[0], "").when(p > near[1], "~").otherwise(p)
+
+    def ends_by(shown) -> DataFrame:
+        rows = hashed.select(*names, by_seed(lambda _, s: [shown(prefix(drawn_by((None, s)))).alias("__end")]))
+        rows = rows.filter("__share IS NOT NULL").groupBy(*names, "__seed", "__share", "__end")
+        per_cell = by_cell(rows.agg(F.count(F.lit(1)).alias("__n"))).groupBy(*keys, "__end").agg(F.sum("__n").alias("__n"))
+        return checkpoint(stratum_ends(per_cell.withColumn("__left", F.lit(None).cast("long")), keys, test_size))
+
+    ends = ends_by(close)
+    if not ends.filter("__left > 0 AND __end IN ('', '~')").isEmpty():  # small strata, or one id in many rows
+        ends = ends_by(lambda p: p)
+    bound = F.when(F.col("__left") > 0, F.coalesce("__end", F.lit(""))).otherwise("")
+    spans = {i: (low, high) for i, low, high in ends.groupBy("__cell").agg(F.min(bound), F.max(bound)).collect()}
+
+    def place(j: int, seed) -> list[Column]:
+        found = [spans[i] for i, (_, s) in enumerate(cells) if s == seed and i in spans] or [("", "")]
+        low, high, h = min(f[0] for f in found), max(f[1] for f in found), drawn_by((None, seed))
+        between = (prefix(h) >= low) & (prefix(h) <= high)
+        told = {"__h": h, "__id": F.col(id_col), **{n: F.col(n) for n in names}}
+        below = F.coalesce(prefix(h) < low, F.lit(False)).alias("__held")
+        return [below, *[F.when(between, value).alias(name) for name, value in told.items()]]
+
+    rows = hashed.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(wanted)], by_seed(place)).filter("__share IS NOT NULL")
+    parted = by_cell(counted(rows, rows.columns))
+    parted = parted.withColumnsRenamed({f"__w{i}": c for i, c in enumerate(wanted)})
+
+    between = parted.filter(F.col("__h").isNotNull()).drop("__held")
+    last = between.join(ends.select(*keys, "__end", "__left"), on=keys).filter(prefix(F.col("__h")) == F.col("__end"))
+    last = last.groupBy(*keys, "__left", "__h").agg(F.sum(WEIGHT).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = last.withColumn("__upto", upto).filter((F.col("__left") > 0) & (F.col("__upto") >= F.col("__left")))
+    reached = reached.groupBy(*keys).agg(F.min("__h").alias("__cut"))
+    cuts = checkpoint(ends.select(*keys).join(reached, on=keys, how="left").withColumn("__cut", F.coalesce("__cut", F.lit(""))))
+
+    told = checkpoint(between.join(cuts, on=keys).withColumn("__held", F.col("__h") <= F.col("__cut")).drop("__cut", "__h", *names))
+    seen = told.groupBy("__cell", "__id").agg(F.max("__held").alias("some"), F.min("__held").alias("all"))
+    removed = checkpoint(seen.filter(F.col("some") & ~F.col("all")).select("__cell", "__id"))
+    left = told.join(removed.withColumn("__held", F.lit(False)), on=["__cell", "__id", "__held"], how="left_anti").drop("__id")
+    every = parted.filter(F.col("__h").isNull()).drop("__h", "__id", *names).unionByName(left)
+    return checkpoint(every.groupBy(*wanted, "__cell", "__held").agg(F.sum(WEIGHT).alias(WEIGHT))), cuts, removed
+
+
 #: What the reference's runs set, where they set anything.
 GRID_MODELS = {"svm": {"kernel": "radial"}, "rforest": {}, "nnet": {"size": 5, "repeats": 10, "decay": 0.001}}
 
@@ -235,62 +315,70 @@ def run_grid(
 ) -> DataFrame:
     """Experiment grid over sample share, seed and model: tidy rows of metrics.
 
-    The test rows are drawn at random, or per stratum when ``strata`` is given. The rows are written once; the
-    cuts of all shares and seeds are found together, and the distinct combinations of training and test rows are
-    counted (without ``strata`` for all shares and seeds in one pass); the models differ by these counts alone. Models without weights (a forest, nets without ``decay``) are fitted on the rows.
-    A few shares and seeds run side by side.
+    The test rows are drawn at random, or per stratum when ``strata`` is given; an id that is drawn is in no training
+    row. The rows are written once; the cuts of all shares and seeds are found together, and the distinct combinations
+    of training and test rows are counted for all shares and seeds in one pass; the models differ by these counts
+    alone. Models without weights (a forest, nets without ``decay``) are fitted on the rows, unless these are so many
+    that ``fit`` would count them. A few shares and seeds run side by side.
     """
     models = models if isinstance(models, Mapping) else {m: GRID_MODELS.get(m, {}) for m in models}
-    wanted = [label, *features]
+    wanted = list(dict.fromkeys([label, *features]))
     kept = checkpoint(df.select(id_col, *dict.fromkeys([*wanted, *(strata or [])])))
 
     cells = list(product(limits, seeds))
     shares = [(limit, seed) for limit, seed in cells if limit != 1]
     drawn = cuts_of_parts(kept, id_col, [(None, str(seed), lambda n, f=limit: exact_part(n, f)) for limit, seed in shares])
     within = {at: (str(at[1]), cut) for at, cut in zip(shares, drawn)}
+    hashes = {f"__h{s}": order_hash(id_col, s) for s in dict.fromkeys([*seeds, *(f"{s}t" for s in seeds)])}
+    hashed = kept.withColumns({**hashes, **stratum_texts(strata or [])})
 
-    def part(at: tuple[float, int]) -> DataFrame:
-        return kept.filter(order_hash(id_col, at[1]) <= within[at][1]) if at in within else kept
+    def inside(at: tuple[float, int]) -> Column:
+        return F.col(f"__h{at[1]}") <= within[at][1] if at in within else F.lit(True)
+
+    def drawn_by(at: tuple[float, int]) -> Column:
+        return F.col(f"__h{at[1]}t")
 
     if not strata:
         parts = [(within.get(at), f"{at[1]}t", lambda n: int(n * (1 - Fraction(str(round(1 - test_size, 9)))))) for at in cells]
-        held_up_to = dict(zip(cells, cuts_of_parts(kept, id_col, parts)))
-
-        def is_held(at: tuple[float, int]) -> Column:
-            return F.coalesce(order_hash(id_col, f"{at[1]}t") <= held_up_to[at], F.lit(False))
-
-        # one pass counts the combinations of all shares and seeds
-        hashes = {f"__h{s}": order_hash(id_col, s) for s in dict.fromkeys([*seeds, *(f"{s}t" for s in seeds)])}
+        held = [F.coalesce(drawn_by(at) <= cut, F.lit(False)) for at, cut in zip(cells, cuts_of_parts(kept, id_col, parts))]
         marks = [
-            F.struct(
-                F.lit(i).alias("__cell"),
-                (F.col(f"__h{at[1]}") <= within[at][1] if at in within else F.lit(True)).alias("__in"),
-                F.coalesce(F.col(f"__h{at[1]}t") <= held_up_to[at], F.lit(False)).alias("__held"),
-            )
-            for i, at in enumerate(cells)
+            F.struct(F.lit(i).alias("__cell"), inside(at).alias("__in"), held[i].alias("__held")) for i, at in enumerate(cells)
         ]
-        dealt = kept.withColumns(hashes).select(*dict.fromkeys(wanted), F.inline(F.array(*marks))).filter("__in")
-        every = counted(dealt, [*dict.fromkeys(wanted), "__cell", "__held"])
-
-    def cell(at: tuple[float, int]) -> list[dict]:
-        limit, seed = at
-        if strata:
-            rows_here = part(at)
-            test = sample_stratified(rows_here, id_col, strata, test_size, f"{seed}t")
-            train = checkpoint(exclude(rows_here, test, id_col))  # read for the counts and by models on rows
-            both = [counted(train, wanted), counted(test, wanted)]
-        else:
-            train = part(at).filter(~is_held(at))
-            here = every.filter(F.col("__cell") == cells.index(at))
-            both = [here.filter(test).select(*wanted, WEIGHT) for test in (~F.col("__held"), F.col("__held"))]
-        with _kept(*both) as (few, held):
+        dealt = hashed.select(*wanted, F.inline(F.array(*marks))).filter("__in")
+        every = counted(dealt, [*wanted, "__cell", "__held"])
+    else:
+        names = list(stratum_texts(strata))
+        every, cuts, removed = _count_stratified(hashed, id_col, wanted, names, cells, inside, drawn_by, test_size)
+
+    by_rows = {name for name, params in models.items() if _on_rows(name, params)}
+    suffice = {i for i, enough in counts_suffice(every.filter(~F.col("__held")), label, features, ["__cell"]).collect() if enough} if by_rows else set()
+
+    def training_rows(i: int) -> DataFrame:
+        """The rows of a cell that were not drawn."""
+        at = cells[i]
+        rows = hashed.filter(inside(at))
+        if not strata:
+            return rows.filter(~held[i]).select(*wanted)
+        here = cuts.filter(F.col("__cell") == i).drop("__cell")
+        rows = rows.join(small_or_plain(here), on=names, how="left").filter(~F.coalesce(drawn_by(at) <= F.col("__cut"), F.lit(False)))
+        gone = removed.filter(F.col("__cell") == i).select(F.col("__id").alias(id_col))
+        return checkpoint(rows.join(small_or_plain(gone), on=id_col, how="left_anti").select(*wanted))
+
+    def cell(i: int) -> list[dict]:
+        limit, seed = cells[i]
+        here = every.filter(F.col("__cell") == i)
+        both = [here.filter(test).select(*wanted, WEIGHT) for test in (~F.col("__held"), F.col("__held"))]
+        counting = {name for name, params in models.items() if name not in by_rows or (i in suffice and params.get("bootstrap", True))}
+        train = training_rows(i) if len(counting) < len(models) else None
+        with _kept(*both) as (few, test):
             rows = []
             for name, params in models.items():
-                source, weight = (train, None) if _on_rows(name, params) else (few, WEIGHT)
-                fitted = fit(source, label, features, name, seed, weight=weight, **params)
-                got = binary_metrics(fitted.predict(held), "predicted", label, positive, weight=WEIGHT).first()
+                source, weight = (few, WEIGHT) if name in counting else (train, None)
+                how = on_counts(name, params) if name in by_rows and weight else params
+                fitted = fit(source, label, features, name, seed, weight=weight, **how)
+                got = binary_metrics(fitted.predict(test), "predicted", label, positive, weight=WEIGHT).first()
                 rows.append({"share": float(limit), "seed": int(seed), "model": name, **got.asDict()})
         return rows
 
-    found = _in_parallel(cells, cell, parallelism)
+    found = _in_parallel(range(len(cells)), cell, parallelism)
     return _table(df.sparkSession, [r for rows in found for r in rows], "share double, seed int, model string")

@@ -67,34 +67,53 @@ def _cuts(df: DataFrame, id_col: str, seed, sizes, fetch: int = _FETCH) -> tuple
 
 
 def cuts_of_parts(df: DataFrame, id_col: str, parts: Sequence[tuple], fetch: int = _FETCH) -> list[str]:
-    """Digest cuts of many parts of the same rows, a pass over them per round for all parts together.
+    """Digest cuts of many parts of the same rows, in two passes over them for all parts together.
 
     A part is ``(within, seed, size)``: the rows up to the cut of another digest, given as ``(seed, cut)``, or all
-    if None; ``size`` gives from their number how many of them lie up to the cut looked for.
+    if None; ``size`` gives from their number how many of them lie up to the cut looked for. The first pass counts
+    digest prefixes, the second keeps the digests of the prefixes in which cuts lie.
     """
+    if not parts:
+        return []
     seeds = list(dict.fromkeys(s for within, seed, _ in parts for s in (seed, *([within[0]] if within else []))))
     at = {s: f"__h{i}" for i, s in enumerate(seeds)}
     hashed = df.select(*[order_hash(id_col, s).alias(h) for s, h in at.items()])
+    sources = list(dict.fromkeys((within, seed) for within, seed, _ in parts))
+    source = [sources.index((within, seed)) for within, seed, _ in parts]
 
-    def counts(wanted: dict[int, str], length: int | None) -> dict[int, list[tuple]]:
+    def digests(prefixes: dict[int, set[str]]) -> DataFrame:
+        """``(s, h)``: the digests of each source that start with one of the prefixes."""
         cells = []
-        for i, prefix in wanted.items():
-            within, seed, _ = parts[i]
+        for k, wanted in prefixes.items():
+            within, seed = sources[k]
             test = F.col(at[within[0]]) <= within[1] if within else F.lit(True)
-            test = test & F.col(at[seed]).startswith(prefix) if prefix else test
-            cells.append(F.struct(F.lit(i).alias("i"), test.alias("here"), F.col(at[seed]).alias("h")))
-        rows = hashed.select(F.inline(F.array(*cells))).filter("here")
-        step = F.substring("h", 1, length) if length else F.col("h")
-        found: dict[int, list[tuple]] = {i: [] for i in wanted}
-        for i, p, n in rows.groupBy("i", step.alias("p")).count().collect():
-            found[i].append((p, n))
-        return {i: sorted(f) for i, f in found.items()}
+            starts = F.substring(at[seed], 1, _DIGITS).isin(sorted(wanted)) if wanted != {""} else F.lit(True)
+            cells.append(F.struct(F.lit(k).alias("s"), (test & starts).alias("here"), F.col(at[seed]).alias("h")))
+        return hashed.select(F.inline(F.array(*cells))).filter("here").select("s", "h")
+
+    found: dict[int, list[tuple]] = {k: [] for k in range(len(sources))}
+    for k, p, n in digests({k: {""} for k in found}).groupBy("s", F.substring("h", 1, _DIGITS)).count().collect():
+        found[k].append((p, n))
+    found = {k: sorted(f) for k, f in found.items()}
 
     cuts, left, prefixes, length = [""] * len(parts), {}, dict.fromkeys(range(len(parts)), ""), _DIGITS
     fine: dict[int, str] = {}
+    near = None
+
+    def counts(wanted: dict[int, str], length: int | None) -> dict[int, list[tuple]]:
+        cells = [
+            F.struct(F.lit(i).alias("i"), ((F.col("s") == source[i]) & F.col("h").startswith(p)).alias("here"), "h", "n")
+            for i, p in wanted.items()
+        ]
+        rows = near.select(F.inline(F.array(*cells))).filter("here")
+        step = F.substring("h", 1, length) if length else F.col("h")
+        steps: dict[int, list[tuple]] = {i: [] for i in wanted}
+        for i, p, n in rows.groupBy("i", step.alias("p")).agg(F.sum("n")).collect():
+            steps[i].append((p, n))
+        return {i: sorted(f) for i, f in steps.items()}
+
     while prefixes:
-        found = counts(prefixes, length)
-        for i, steps in found.items():
+        for i, steps in (counts(prefixes, length) if near else {i: found[source[i]] for i in prefixes}).items():
             if i not in left:
                 left[i] = parts[i][2](sum(n for _, n in steps))
                 if left[i] <= 0:
@@ -107,6 +126,11 @@ def cuts_of_parts(df: DataFrame, id_col: str, parts: Sequence[tuple], fetch: int
             prefixes[i] = p
             if n <= fetch or length >= 32:
                 fine[i] = prefixes.pop(i)
+        if not near and (prefixes or fine):
+            ends: dict[int, set[str]] = {}
+            for i, p in [*prefixes.items(), *fine.items()]:
+                ends.setdefault(source[i], set()).add(p)
+            near = checkpoint(digests(ends).groupBy("s", "h").agg(F.count(F.lit(1)).alias("n")))
         length += _DIGITS
     if fine:
         for i, steps in counts(fine, None).items():
@@ -160,6 +184,29 @@ def split(df: DataFrame, id_col: str, fractions: Sequence, seed) -> list[DataFra
     return [labelled.filter(F.col("__part") == n).drop("__part") for n in names]
 
 
+def stratum_texts(strata: Sequence[str]) -> dict[str, Column]:
+    """The strata under private names, as texts without null: null is a stratum of its own."""
+    return {f"__s{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(strata)}
+
+
+def stratum_ends(counted: DataFrame, names: Sequence[str], fraction) -> DataFrame:
+    """Per stratum, the digest prefix in which a sample of ``floor(n * fraction)`` rows ends: ``(*names, __end, __left, __n)``.
+
+    ``counted`` holds the rows ``__n`` per stratum and prefix ``__end``, and the ``__left`` wanted if it is known.
+    ``__left`` tells the row wanted, from the prefix's start, ``__n`` the rows of the prefix. Strata of which no row is
+    wanted have their first prefix and a ``__left`` of 0.
+    """
+    share, by_stratum = Fraction(str(fraction)), Window.partitionBy(*names)
+    upto = F.sum("__n").over(by_stratum.orderBy("__end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.sum("__n").over(by_stratum)
+    wanted = F.coalesce("__left", F.floor(size * F.lit(share.numerator) / F.lit(share.denominator)))
+    under = F.col("__upto") - F.col("__n")
+    found = counted.withColumns({"__upto": upto, "__wanted": wanted})
+    none = (F.col("__wanted") <= 0) & (under == 0)
+    found = found.filter(((under < F.col("__wanted")) & (F.col("__wanted") <= F.col("__upto"))) | none)
+    return found.select(*names, "__end", (F.col("__wanted") - under).alias("__left"), "__n")
+
+
 def sample_stratified(
     df: DataFrame, id_col: str, strata: Sequence[str], fraction, seed, rank_rows: int = RANK_ROWS, digits: int = _DIGITS
 ) -> DataFrame:
@@ -171,24 +218,14 @@ def sample_stratified(
     """
     if not strata:
         return sample_exact(df, id_col, fraction, seed)
-    share = Fraction(str(fraction))
-
-    # Null is a stratum of its own; the digest decides the order.
-    names = [f"__s{i}" for i in range(len(strata))]
-    texts = {s: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for s, c in zip(names, strata)}
+    texts = stratum_texts(strata)
+    names = list(texts)
     keyed = df.withColumns({**texts, "__h": order_hash(id_col, seed)})
     by_stratum = Window.partitionBy(*names)
 
     def ends_of(rows: DataFrame, length: int) -> DataFrame:
-        """The prefix of this length that holds the row wanted (``__left`` from its start), and its row count."""
         counted = rows.groupBy(*names, "__left", F.substring("__h", 1, length).alias("__end")).agg(F.count(F.lit(1)).alias("__n"))
-        upto = F.sum("__n").over(by_stratum.orderBy("__end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        size = F.sum("__n").over(by_stratum)
-        wanted = F.coalesce("__left", F.floor(size * F.lit(share.numerator) / F.lit(share.denominator)))
-        under = F.col("__upto") - F.col("__n")
-        found = counted.withColumns({"__upto": upto, "__wanted": wanted})
-        found = found.filter((under < F.col("__wanted")) & (F.col("__wanted") <= F.col("__upto")))
-        return checkpoint(found.select(*names, "__end", (F.col("__wanted") - under).alias("__left"), "__n"))
+        return checkpoint(stratum_ends(counted, names, fraction).filter(F.col("__left") > 0))
 
     def inside(ends: DataFrame) -> DataFrame:
         found = keyed.select(*names, "__h").join(small_or_plain(ends.select(*names, "__end", "__left")), on=names)

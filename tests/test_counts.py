@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import pytest
+from conftest import bag
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMALL
 from cohort import models as ml
+from cohort import operators as op
 from cohort.models import classify, search
-from cohort.models.encoding import WEIGHT, counted
+from cohort.models.encoding import WEIGHT, compress, counted
 from cohort.models.forest import Trees
 from cohort.models.nets import Nets
 from cohort.operators.sample import _cuts, cuts_of_parts, order_hash
@@ -84,3 +88,82 @@ def test_stages_of_the_wide_table_are_written_before_they_are_joined(spark):
     out = wide_plan.wide_table(*two_sources(Tables(spark, SMALL)))
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("LogicalRDD") >= 8  # the cohort and seven stages
+
+
+def _strata(spark):
+    """Ids that come twice, some in two strata; strata without a drawn row; nulls."""
+    once = spark.range(900).select(
+        F.when(F.col("id") > 3, F.col("id") % 800).alias("id"),
+        F.when(F.col("id") % 50 != 0, F.concat(F.lit("s"), (F.col("id") * 7 % 3).cast("string"))).alias("s"),
+        F.when(F.col("id") % 9 > 3, "YES").when(F.col("id") % 9 > 0, "NO").alias("y"),
+        (F.col("id") % 5).cast("string").alias("a"),
+    )
+    rare = spark.createDataFrame([(3 * i, "rare", "NO", "0") for i in range(4)], "id long, s string, y string, a string")
+    return once.unionByName(rare).unionByName(once.filter("id > 100 AND id < 200").withColumn("s", F.lit("s1")))
+
+
+def _spied(monkeypatch, note):
+    """Let ``note`` see what the grid's fits and metrics are given."""
+    for name, plain in (("fit", search.fit), ("binary_metrics", search.binary_metrics)):
+
+        def spy(df, *rest, _name=name, _plain=plain, **more):
+            note(_name, df, rest, more)
+            return _plain(df, *rest, **more)
+
+        monkeypatch.setattr(search, name, spy)
+
+
+@pytest.mark.parametrize("strata, limits", [(["s"], (0.4, 1.0)), (["s", "y"], (0.4, 1.0)), (["s"], (1.0,))])
+def test_cells_of_a_grid_hold_the_rows_drawn_one_by_one(spark, monkeypatch, strata, limits):
+    rows, seeds, got = _strata(spark), (3, 8), []
+    rows = rows if limits == (1.0,) else rows.filter("id IS NOT NULL")
+    _spied(monkeypatch, lambda _, df, *__: got.append(bag(df.select("y", "a", WEIGHT))))
+    ml.run_grid(rows, "id", "y", ["a"], limits, seeds, {"rpart": {}}, strata=strata, parallelism=1)
+    want, both = [], 0
+    for limit, seed in product(limits, seeds):
+        part = rows if limit == 1 else op.sample_exact(rows, "id", limit, seed)
+        test = op.sample_stratified(part, "id", strata, 0.2, f"{seed}t")
+        train = op.exclude(part, test, "id")
+        both += part.count() - train.count() - test.count()  # ids drawn in one stratum only
+        want += [bag(compress(df, ["y", "a"])) for df in (train, test)]
+    assert got == want and all(want) and both > 0
+
+
+def test_forests_on_rows_get_the_rows_not_drawn(spark, monkeypatch):
+    rows, got = _strata(spark), []
+    _spied(monkeypatch, lambda name, df, *_: got.append(bag(df.select("y", "a"))) if name == "fit" else None)
+    ml.run_grid(rows, "id", "y", ["a"], [1.0], [3], {"rforest": {"ntree": 2}}, strata=["s"])
+    test = op.sample_stratified(rows, "id", ["s"], 0.2, "3t")
+    assert got == [bag(op.exclude(rows, test, "id").select("y", "a"))]
+
+
+def test_the_passes_of_a_grid_do_not_grow_with_its_cells(spark, monkeypatch):
+    written, plain = [], search.checkpoint
+    monkeypatch.setattr(search, "checkpoint", lambda df: written.append(df) or plain(df))
+    sizes = []
+    for limits, seeds in (([1.0], [3]), ([0.4, 0.7, 1.0], [3, 8])):
+        written.clear()
+        ml.run_grid(_rows(spark, 3000), "id", "y", ["a"], limits, seeds, {"rpart": {}}, strata=["y"])
+        sizes.append(len(written))
+    assert sizes[0] == sizes[1]
+
+
+def test_a_grid_on_many_rows_fits_forests_on_its_counts(spark, monkeypatch):
+    weights = []
+    _spied(monkeypatch, lambda name, df, rest, more: weights.append(more["weight"]) if name == "fit" else None)
+    models = {"rforest": {"ntree": 3}, "nnet": {"repeats": 1, "max_iter": 60}}
+    for many in (10**6, 150):
+        monkeypatch.setattr(classify, "MANY_ROWS", many)
+        grid = ml.run_grid(_rows(spark), "id", "y", ["a"], [0.3, 1.0], [3], models, strata=["y"], parallelism=1)
+        assert grid.filter("accuracy < 1").count() == 0
+    assert weights == [None] * 4 + [None, None, WEIGHT, WEIGHT]
+
+
+@pytest.mark.parametrize("limits", [(0.3, 1.0), (1.0,)])
+def test_cuts_far_from_their_likely_place_are_found(spark, monkeypatch, limits):
+    rows = _strata(spark).filter("id IS NOT NULL")
+    grids = []
+    for near in (0.0, 1.0):
+        monkeypatch.setattr(search, "NEAR", near)
+        grids.append(bag(ml.run_grid(rows, "id", "y", ["a"], limits, [3], {"rpart": {}}, strata=["s"])))
+    assert grids[0] == grids[1]
